@@ -50,9 +50,10 @@ class Bpe:
                 if left is not None and right is not None:
                     pairs[left * self.size + right] = rank
         self.pairs = pairs
-        self.pair_keys = np.array(sorted(pairs), dtype=np.int64)
-        self.pair_ranks = np.array([pairs[k] for k in self.pair_keys.tolist()], dtype=np.int64)
-        self.cache = UnitCache(self._learn)
+        self.pair_keys, self.pair_ranks = self._hashed(pairs)
+        self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        self.whole = {t: np.array([i], dtype=self.kind).tobytes() for t, i in self.ranks.items()}
+        self.cache = UnitCache(self._learn, self.kind)
 
     # one tree
 
@@ -98,13 +99,43 @@ class Bpe:
 
     # many trees
 
+    @staticmethod
+    def _slot(key: np.ndarray, bits: int) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+
+    def _hashed(self, pairs: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        """An open-addressed table of pairs, at most an eighth full; lookups end at an empty slot."""
+        bits = max(4, (8 * len(pairs)).bit_length())
+        keys, ranks = np.full(1 << bits, -1, dtype=np.int64), np.full(1 << bits, -1, dtype=np.int64)
+        todo = np.array(list(pairs), dtype=np.int64)
+        value = np.array(list(pairs.values()), dtype=np.int64)
+        slot = self._slot(todo, bits)
+        while len(todo):
+            free = keys[slot] < 0
+            keys[slot[free]] = todo[free]
+            done = keys[slot] == todo
+            ranks[slot[done]] = value[done]
+            todo, value, slot = todo[~done], value[~done], (slot[~done] + 1) % (1 << bits)
+        return keys, ranks
+
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of the token that each pair makes, or -1."""
         key = left * self.size + right
-        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], -1)
-
-    def merge_many(self, pieces: list[bytes], width: int) -> list[np.ndarray]:
-        """Ids of matches of 2 to width bytes; width is a power of two."""
+        slot = self._slot(key, len(self.pair_keys).bit_length() - 1)
+        rank = np.where(self.pair_keys[slot] == key, self.pair_ranks[slot], -1)
+        key, slot = key.reshape(-1), slot.reshape(-1)
+        flat = rank.reshape(-1)
+        more = np.flatnonzero((self.pair_keys[slot] != key) & (self.pair_keys[slot] >= 0))
+        while len(more):
+            slot[more] = (slot[more] + 1) % len(self.pair_keys)
+            found = self.pair_keys[slot[more]]
+            hit = found == key[more]
+            flat[more[hit]] = self.pair_ranks[slot[more[hit]]]
+            more = more[~hit & (found >= 0)]
+        return rank
+
+    def merge_many(self, pieces: list[bytes], width: int) -> list[bytes]:
+        """Ids, as bytes of self.kind, of matches of 2 to width bytes; width is a power of two."""
         m = len(pieces)
         raw = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), dtype=np.uint8).reshape(m, width)
         length = np.array([len(p) for p in pieces], dtype=np.int64)
@@ -150,21 +181,22 @@ class Bpe:
                 node = node >> 1
                 flat[three + node] = np.minimum(flat[three + 2 * node], flat[three + 2 * node + 1])
             rows = rows[flat[rows * (2 * width) + 1] < _NONE]
-        return [ids_[k, :-1][live[k]] for k in range(m)] if m < 64 else np.split(ids_[:, :-1][live], np.cumsum(live.sum(1))[:-1])
+        size = self.kind.itemsize
+        flat, ends = ids_[:, :-1][live].astype(self.kind).tobytes(), (np.cumsum(live.sum(1)) * size).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]  # noqa: B905
 
-    def encode_pieces(self, pieces: list[bytes]) -> list[np.ndarray | list[int]]:
-        """Ids of each match."""
-        out: list = [None] * len(pieces)
+    def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each match as bytes of self.kind."""
+        out = list(map(self.whole.get, pieces))
         by_width: dict[int, list[int]] = {}
-        for k, p in enumerate(pieces):
-            if (r := self.ranks.get(p)) is not None:
-                out[k] = (r,)
-            elif len(p) < _LONG:
-                by_width.setdefault(max(4, 1 << (len(p) - 1).bit_length()), []).append(k)
-            else:
-                out[k] = self.merge_one(p)
+        for k, found in enumerate(out):
+            if found is None:
+                if (n := len(pieces[k])) < _LONG:
+                    by_width.setdefault(max(4, 1 << (n - 1).bit_length()), []).append(k)
+                else:
+                    out[k] = np.array(self.merge_one(pieces[k]), dtype=self.kind).tobytes()
         for width, at in by_width.items():
-            step = max(1, (1 << 21) // width)  # bounds the arrays
+            step = max(1, (1 << 19) // width)  # bounds the arrays
             for lo in range(0, len(at), step):
                 part = at[lo : lo + step]
                 for k, ids in zip(part, self.merge_many([pieces[k] for k in part], width), strict=True):
@@ -172,11 +204,10 @@ class Bpe:
         return out
 
     def _learn(self, new: list[str]) -> list[bytes]:
-        cut = [PATTERN.findall(u) for u in new]
-        pieces = list(dict.fromkeys(p for c in cut for p in c))
-        ids = self.encode_pieces([p.encode() for p in pieces])
-        known = {p: np.asarray(i, dtype="<u4").tobytes() for p, i in zip(pieces, ids, strict=True)}
-        return [known[c[0]] if len(c) == 1 else b"".join(map(known.__getitem__, c)) for c in cut]
+        cut = list(map(PATTERN.findall, new))
+        pieces = list({p for c in cut for p in c})
+        known = dict(zip(pieces, self.encode_pieces([p.encode() for p in pieces]), strict=True))
+        return [known[c[0]] if len(c) == 1 else b"".join([known[p] for p in c]) for c in cut]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         return self.cache.ids(texts)
@@ -206,7 +237,7 @@ def encode(docs: DataFrame, path: str | None = None, *, id_col: str = "doc_id",
         for b in batches:
             ids = bpe.encode(b.column("text").to_pylist())
             ends = np.cumsum([0, *map(len, ids)])
-            flat = np.concatenate([np.zeros(0, "<u4"), *ids]).astype(np.int32)
+            flat = np.concatenate([np.zeros(0, "<u2"), *ids]).astype(np.int32)
             columns = [b.column("id"), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))]
             if decoded:
                 columns.append(pa.array([bpe.decode(i.tolist()) for i in ids], pa.binary()))

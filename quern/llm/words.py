@@ -19,7 +19,7 @@ PATTERN = regex.compile(public_tokenizers.PATTERN)
 #: White space other than spaces and line feeds, and NUL, which marks the cuts below.
 _OTHER = re.compile("[\0\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
 #: Units that one worker remembers; a bound on its memory, without effect on results.
-CACHE_UNITS = 600_000
+CACHE_UNITS = 1_000_000
 
 
 def units(text: str | None) -> list[str]:
@@ -38,16 +38,20 @@ class UnitCache:
     learn(units) gives the ids of each of some new units as little-endian bytes of `kind`.
     """
 
-    def __init__(self, learn: Callable[[list[str]], list[bytes]], kind: str = "<u4", most: int = CACHE_UNITS):
+    def __init__(self, learn: Callable[[list[str]], list[bytes]], kind: np.dtype | str = "<u4", most: int = CACHE_UNITS):
         self.learn, self.kind, self.most, self.known = learn, kind, most, {}
 
     def ids(self, texts: list[str | None]) -> list[np.ndarray]:
         parts = [units(t) for t in texts]
-        seen = set().union(*parts)
-        new = [u for u in seen if u not in self.known]
+        get = self.known.get
+        found = [list(map(get, p)) for p in parts]
+        short = [k for k, f in enumerate(found) if None in f]
+        new = list({u for k in short for u, f in zip(parts[k], found[k], strict=True) if f is None})
         if new:
+            learned = dict(zip(new, self.learn(new), strict=True))
+            for k in short:
+                found[k] = [learned[u] if f is None else f for u, f in zip(parts[k], found[k], strict=True)]
             if len(self.known) + len(new) > self.most:
-                self.known = {u: self.known[u] for u in seen if u in self.known}
-            self.known.update(zip(new, self.learn(new), strict=True))
-        get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, p)), dtype=self.kind) for p in parts]
+                self.known = {}
+            self.known.update(learned)
+        return [np.frombuffer(b"".join(f), dtype=self.kind) for f in found]
