@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm.bpe import op1_byte_bpe
+from quern.llm.matroska import op5_media_matroska
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op5_media_matroska": op5_media_matroska,
 }
 
 ORACLE_SQL: dict[str, str] = {}
