@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from quern.llm.bpe import op1_byte_bpe
 from quern.llm.matroska import op5_media_matroska
 from quern.llm.mixing import OP6_SQL, op6_mix_sources
+from quern.llm.quality import op10_quality_qda
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op5_media_matroska": op5_media_matroska,
     "op6_mix_sources": op6_mix_sources,
+    "op10_quality_qda": op10_quality_qda,
 }
 
 ORACLE_SQL: dict[str, str] = {
