@@ -50,7 +50,19 @@ _SYMBOL[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in ".,
 
 
 def describe(texts: list[bytes]) -> np.ndarray:
-    """One row of STATISTICS for each text."""
+    """One row of STATISTICS for each text; a megabyte of text, or one text, at a time."""
+    out, lo = [np.zeros((0, len(STATISTICS)))], 0
+    while lo < len(texts):
+        hi, total = lo, 0
+        while hi < len(texts) and (hi == lo or total + len(texts[hi]) < 1 << 20):
+            total += len(texts[hi])
+            hi += 1
+        out.append(_describe(texts[lo:hi]))
+        lo = hi
+    return np.concatenate(out)
+
+
+def _describe(texts: list[bytes]) -> np.ndarray:
     n = len(texts)
     out = np.zeros((n, len(STATISTICS)))
     size = np.array([len(t) for t in texts], dtype=np.int64)

@@ -10,9 +10,11 @@ from quern.llm.bpe import op1_byte_bpe
 from quern.llm.matroska import op5_media_matroska
 from quern.llm.mixing import OP6_SQL, op6_mix_sources
 from quern.llm.quality import op10_quality_qda
+from quern.llm.toxicity import op4_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op4_toxicity": op4_toxicity,
     "op5_media_matroska": op5_media_matroska,
     "op6_mix_sources": op6_mix_sources,
     "op10_quality_qda": op10_quality_qda,
