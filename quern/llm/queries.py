@@ -10,6 +10,7 @@ from quern.llm.bpe import op1_byte_bpe
 from quern.llm.matroska import op5_media_matroska
 from quern.llm.mixing import OP6_SQL, op6_mix_sources
 from quern.llm.quality import op10_quality_qda
+from quern.llm.rans import op7_tokens_rans
 from quern.llm.toxicity import op4_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_media_matroska": op5_media_matroska,
     "op6_mix_sources": op6_mix_sources,
+    "op7_tokens_rans": op7_tokens_rans,
     "op10_quality_qda": op10_quality_qda,
 }
 
