@@ -12,6 +12,7 @@ from quern.llm.mixing import OP6_SQL, op6_mix_sources
 from quern.llm.quality import op10_quality_qda
 from quern.llm.rans import op7_tokens_rans
 from quern.llm.toxicity import op4_toxicity
+from quern.llm.urls import op8_url_language_model
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_media_matroska": op5_media_matroska,
     "op6_mix_sources": op6_mix_sources,
     "op7_tokens_rans": op7_tokens_rans,
+    "op8_url_language_model": op8_url_language_model,
     "op10_quality_qda": op10_quality_qda,
 }
 
