@@ -12,6 +12,7 @@ from quern.llm.matroska import op5_media_matroska
 from quern.llm.mixing import OP6_SQL, op6_mix_sources
 from quern.llm.quality import op10_quality_qda
 from quern.llm.rans import op7_tokens_rans
+from quern.llm.suffixes import op9_suffix_dedup
 from quern.llm.toxicity import op4_toxicity
 from quern.llm.urls import op8_url_language_model
 
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mix_sources": op6_mix_sources,
     "op7_tokens_rans": op7_tokens_rans,
     "op8_url_language_model": op8_url_language_model,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality_qda": op10_quality_qda,
 }
 
