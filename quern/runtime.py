@@ -17,9 +17,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def prepare(spark: SparkSession) -> None:
+def prepare(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Bound the rows of an Arrow batch, so that one batch of long texts fits a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,7 +54,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/quern-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    _PATHS[id(out)] = path
+    return out
+
+
+_PATHS: dict[int, str] = {}
+
+
+def discard(df: DataFrame) -> None:
+    """Remove what stored() wrote for df at once; only where nothing that is still to run reads it."""
+    if path := _PATHS.pop(id(df), None):
+        _remove(df.sparkSession, path)
 
 
 def partitions(spark: SparkSession) -> int:
