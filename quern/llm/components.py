@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.runtime import stored
+from quern.runtime import discard, stored
 
 
 def components(links: DataFrame, name: str = "links") -> DataFrame:
@@ -25,7 +25,8 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
         # all links now point from a larger to a smaller row
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        edges = stored(small, name)
+        old, edges = edges, stored(small, name)
+        discard(old)
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("mark")).first()
         if before == now:
             break
