@@ -52,12 +52,14 @@ def bm25(chunks: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
     vocabulary = asked.select("term").distinct()
     sized = chunks.select("chunk_id", T.terms(F.col("text")).alias("t"))
     whole = sized.agg(F.count("*").alias("n"), F.greatest(F.avg(F.size("t")), F.lit(1.0)).alias("average"))
-    posted = sized.select("chunk_id", F.size("t").alias("length"), F.explode("t").alias("term")).join(small(vocabulary), "term", "left_semi").groupBy("chunk_id", "term", "length").agg(F.count("*").alias("tf"))
+    few = queries.limit(QUERY_ROWS // 100 + 1).count() <= QUERY_ROWS // 100  # so few queries have few terms
+    near = F.broadcast if few else (lambda df: df)
+    posted = sized.select("chunk_id", F.size("t").alias("length"), F.explode("t").alias("term")).join(near(vocabulary), "term", "left_semi").groupBy("chunk_id", "term", "length").agg(F.count("*").alias("tf"))
     # a term's weight in a chunk doesn't depend on the query, so it is worked out once
     df = posted.groupBy("term").agg(F.count("*").alias("df"))
     weight = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("average")))
-    weighed = posted.join(small(df), "term").join(F.broadcast(whole)).select("chunk_id", "term", weight.alias("w"))
-    scored = weighed.join(small(asked), "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("qtf") * F.col("w")), DIGITS).alias("sparse")).where("sparse > 0")
+    weighed = posted.join(near(df), "term").join(F.broadcast(whole)).select("chunk_id", "term", weight.alias("w"))
+    scored = weighed.join(near(asked), "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("qtf") * F.col("w")), DIGITS).alias("sparse")).where("sparse > 0")
     return ranked(scored, F.desc("sparse"), F.col("chunk_id")).where(F.col("rank") <= limit)
 
 

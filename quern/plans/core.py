@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions import text as T
 from quern.operators import chunks as C
 from quern.operators import retrieval as R
-from quern.runtime import table
+from quern.runtime import stored, table
 from quern.sources import trees
 
 QUERIES: dict = {}
@@ -224,8 +224,8 @@ def vector_topk(spark, sf_dir):
 
 
 def fusion(spark, sf_dir):
-    """Both rankings of windows fused; with texts."""
-    c, q = windows(spark, sf_dir), questions(spark, sf_dir)
+    """Both rankings of windows fused; with texts. Windows are stored, as both rankings and the texts read them."""
+    c, q = stored(windows(spark, sf_dir), "windows"), questions(spark, sf_dir)
     found = R.fused([R.bm25(c, q, 100), R.dense(c, q, 100)])
     return found.join(c.select("chunk_id", "document_id", "text", "token_count"), "chunk_id").join(R.small(q), "query_id")
 

@@ -12,7 +12,7 @@ from quern.operators import retrieval as R
 from quern.operators import structure as S
 from quern.plans import core
 from quern.plans.core import BM25, CHUNKS, COVERAGE, FACETS, FOLD, NODES, NORMAL, PATHS, QUESTIONS, TERMS, nodes, questions
-from quern.runtime import table
+from quern.runtime import stored, table
 from quern.sources import trees
 
 QUERIES: dict = {}
@@ -72,8 +72,9 @@ def units(spark, sf_dir) -> DataFrame:
 
 
 def candidates(spark, sf_dir) -> DataFrame:
+    """The best pages of each question with their texts: stored, as packing and every metric read them again."""
     u, q = units(spark, sf_dir), questions(spark, sf_dir)
-    return R.small(R.bm25(u, q, PACK_LIMIT)).join(u, "chunk_id").join(R.small(q), "query_id")
+    return stored(R.bm25(u, q, PACK_LIMIT).join(u, "chunk_id").join(R.small(q), "query_id"), "candidates")
 
 
 @query(f"""WITH {CANDIDATES}, a AS (SELECT * FROM candidates WHERE rank <= 5),
@@ -112,8 +113,8 @@ def pool_cap(spark, sf_dir):
     return P.pool_cap(P.with_budgets(candidates(spark, sf_dir)), 10, 1.5).select("query_id", "budget", "rank", "chunk_id")
 
 
-def packed(spark, sf_dir) -> DataFrame:
-    c = P.with_budgets(candidates(spark, sf_dir)).withColumn("source", F.concat_ws("#", "document_id", F.col("page").cast("string")))
+def packed(spark, sf_dir, found: DataFrame | None = None) -> DataFrame:
+    c = P.with_budgets(found if found is not None else candidates(spark, sf_dir)).withColumn("source", F.concat_ws("#", "document_id", F.col("page").cast("string")))
     return P.pack_greedy(c.select("query_id", "budget", "rank", "chunk_id", "source", "token_count"))
 
 
@@ -131,8 +132,9 @@ def pack_greedy(spark, sf_dir):
 
 
 def packed_texts(spark, sf_dir) -> DataFrame:
-    c = candidates(spark, sf_dir).select("query_id", "chunk_id", "document_id", "page", "text", "token_count", "query")
-    return packed(spark, sf_dir).join(c, ["query_id", "chunk_id"])
+    found = candidates(spark, sf_dir)
+    c = found.select("query_id", "chunk_id", "document_id", "page", "text", "token_count", "query")
+    return packed(spark, sf_dir, found).join(c, ["query_id", "chunk_id"])
 
 
 @query(f"""WITH RECURSIVE {PACKED} SELECT query_id, budget, sha256(string_agg('<evidence id="E' || slot || '">' || chr(10) || text || chr(10) || '</evidence>', chr(10) || chr(10) ORDER BY slot)) AS block_sha256, count(*) AS n_items FROM packed GROUP BY 1, 2""")
