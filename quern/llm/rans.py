@@ -23,6 +23,7 @@ import functools
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,8 +43,8 @@ MAGIC = b"QRANS1\0\0"
 #: Frequencies of a table add up to 2**SCALE; states stay in [2**31, 2**63).
 SCALE = 18
 LOW = np.uint64(1 << 31)
-LANES = 512
-BLOCK = 1 << 17
+LANES = 1024
+BLOCK = 1 << 18
 #: Ids after which a shard is closed, at the end of a document.
 SHARD = 1 << 20
 
@@ -53,7 +54,12 @@ SHARD = 1 << 20
 
 def frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, frequencies that add up to 2**SCALE, each at least 1)."""
-    symbols, counts = np.unique(ids, return_counts=True)
+    if len(ids) and int(ids.max()) < 1 << 22:
+        counts = np.bincount(ids)
+        symbols = np.flatnonzero(counts)
+        counts = counts[symbols]
+    else:
+        symbols, counts = np.unique(ids, return_counts=True)
     if len(symbols) > 1 << (SCALE - 1):
         raise ValueError("too many symbols for one table")
     total = 1 << SCALE
@@ -118,7 +124,12 @@ _POINT = np.dtype([("first", "<u8"), ("place", "<u8"), ("size", "<u8"), ("ids",
 def pack(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
     symbols, freq = frequencies(ids)
     start = np.cumsum(freq) - freq
-    index = np.searchsorted(symbols, ids)
+    if len(symbols) and int(symbols[-1]) < 1 << 22:
+        place = np.zeros(int(symbols[-1]) + 1, dtype=np.int64)
+        place[symbols] = np.arange(len(symbols))
+        index = place[ids]
+    else:
+        index = np.searchsorted(symbols, ids)
     points, blocks, place = np.zeros(-(-len(ids) // BLOCK), dtype=_POINT), [], 0
     for k in range(len(points)):
         part = index[k * BLOCK : (k + 1) * BLOCK]
@@ -192,12 +203,12 @@ def tokenizer(path: str) -> UnitCache:
 
     found = Tokenizer.from_file(path)
     found.encode_special_tokens = True
-    kind = np.dtype("<u2" if found.get_vocab_size() <= 1 << 16 else "<u4")
+    code, kind = ("H", np.dtype("u2")) if found.get_vocab_size() <= 1 << 16 else ("I", np.dtype("u4"))
 
     def learn(new: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for lo in range(0, len(new), 20_000):
-            out += [np.array(e.ids, dtype=kind).tobytes() for e in found.encode_batch_fast(new[lo : lo + 20_000], add_special_tokens=False)]
+            out += [array(code, e.ids).tobytes() for e in found.encode_batch_fast(new[lo : lo + 20_000], add_special_tokens=False)]
         return out
 
     return UnitCache(learn, kind)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from itertools import chain, repeat
 
 import numpy as np
 import public_tokenizers
@@ -35,23 +36,62 @@ def units(text: str | None) -> list[str]:
 class UnitCache:
     """Token ids of texts, by way of the ids of their units.
 
-    learn(units) gives the ids of each of some new units as little-endian bytes of `kind`.
+    learn(units) gives the ids of each of some new units as bytes of `kind`. A dictionary has a number
+    for each known unit, and arrays by that number where its ids begin and how many they are, so that
+    the ids of many texts are gathered at once.
     """
 
     def __init__(self, learn: Callable[[list[str]], list[bytes]], kind: np.dtype | str = "<u4", most: int = CACHE_UNITS):
-        self.learn, self.kind, self.most, self.known = learn, kind, most, {}
+        self.learn, self.kind, self.most = learn, np.dtype(kind), most
+        self._clear()
+
+    def _clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.begin, self.size, self.flat = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, self.kind)
+        self.used = 0
+
+    def _store(self, new: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        have, need = len(self.number), len(self.number) + len(new)
+        for name, least in (("begin", need), ("size", need), ("flat", self.used + len(ids))):
+            old = getattr(self, name)
+            if len(old) < least:
+                setattr(self, name, np.concatenate([old, np.zeros(max(least, 2 * len(old)) - len(old), old.dtype)]))
+        self.begin[have:need] = self.used + np.cumsum(sizes) - sizes
+        self.size[have:need] = sizes
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.number.update(zip(new, range(have, need), strict=True))
+
+    def _add(self, new: list[str]) -> None:
+        """Learns new units. The pattern always cuts between a letter and a point or comma: a word with one is put together."""
+        ended = [u for u in new if u[-1] in ".," and len(u) > 1 and u[-2].isalpha()]
+        whole = set(ended)
+        plain = dict.fromkeys([u for u in new if u not in whole])
+        plain.update(dict.fromkeys(p for u in ended for p in (u[:-1], u[-1])))
+        plain = [u for u in plain if u not in self.number]
+        parts = self.learn(plain)
+        self._store(plain, np.frombuffer(b"".join(parts), dtype=self.kind), np.fromiter(map(len, parts), np.int64, len(parts)) // self.kind.itemsize)
+        if ended:
+            at = np.fromiter((self.number[p] for u in ended for p in (u[:-1], u[-1])), np.int64, 2 * len(ended))
+            self._store(ended, self._gather(at)[0], self.size[at].reshape(-1, 2).sum(1))
+
+    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of units by number, one after the other; where each unit's end)."""
+        size = self.size[at]
+        end = np.cumsum(size)
+        return self.flat[np.repeat(self.begin[at] - (end - size), size) + np.arange(end[-1] if len(end) else 0)], end
 
     def ids(self, texts: list[str | None]) -> list[np.ndarray]:
         parts = [units(t) for t in texts]
-        get = self.known.get
-        found = [list(map(get, p)) for p in parts]
-        short = [k for k, f in enumerate(found) if None in f]
-        new = list({u for k in short for u, f in zip(parts[k], found[k], strict=True) if f is None})
-        if new:
-            learned = dict(zip(new, self.learn(new), strict=True))
-            for k in short:
-                found[k] = [learned[u] if f is None else f for u, f in zip(parts[k], found[k], strict=True)]
-            if len(self.known) + len(new) > self.most:
-                self.known = {}
-            self.known.update(learned)
-        return [np.frombuffer(b"".join(f), dtype=self.kind) for f in found]
+        every = list(chain.from_iterable(parts))
+        if len(self.number) > self.most:
+            self._clear()
+        at = np.fromiter(map(self.number.get, every, repeat(-1)), np.int64, len(every))
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing:
+            unknown = [every[k] for k in missing]
+            self._add(list(dict.fromkeys(unknown)))
+            at[missing] = np.fromiter(map(self.number.__getitem__, unknown), np.int64, len(unknown))
+        flat, end = self._gather(at)
+        unit_ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+        return np.split(flat, np.r_[0, end][unit_ends][:-1]) if texts else []
