@@ -205,10 +205,12 @@ def gold(spark, sf_dir) -> DataFrame:
     # a question's first and last words may be part of longer ones on the page: its second to fifth words are whole
     long = q.where(F.size("w") >= 6).select("query_id", "norm", gram(F.col("w"), F.lit(2)).alias("key"))
     short = q.where(F.size("w") < 6).select("query_id", "norm")
-    u = units(spark, sf_dir).select("document_id", "page", T.normal(F.col("text")).alias("body"))
-    w = F.split("body", " ")
-    grams = u.select("document_id", "page", "body", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 3, F.lit(1))), lambda k: gram(w, k)))).alias("key"))
-    a = grams.join(R.small(long), "key").where("contains(body, norm)").select("query_id", "document_id", "page")
+    u = stored(units(spark, sf_dir).select("document_id", "page", T.normal(F.col("text")).alias("body")), "bodies")
+    # only places and four words are exploded; the text is looked up again where they meet
+    split = u.select("document_id", "page", F.split("body", " ").alias("w"))
+    grams = split.select("document_id", "page", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 3, F.lit(1))), lambda k: gram(F.col("w"), k))).alias("key"))
+    met = grams.join(R.small(long), "key").select("query_id", "norm", "document_id", "page").distinct()
+    a = u.join(met, ["document_id", "page"]).where("contains(body, norm)").select("query_id", "document_id", "page")
     b = u.join(R.small(short), F.expr("contains(body, norm)")).select("query_id", "document_id", "page")
     return a.unionByName(b)
 
