@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm.bpe import op1_byte_bpe
+from quern.llm.caps import op3_cap_filters
 from quern.llm.jaccard import op2_ngram_jaccard
 from quern.llm.matroska import op5_media_matroska
 from quern.llm.mixing import OP6_SQL, op6_mix_sources
@@ -19,6 +20,7 @@ from quern.llm.urls import op8_url_language_model
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op3_cap_filters": op3_cap_filters,
     "op4_toxicity": op4_toxicity,
     "op5_media_matroska": op5_media_matroska,
     "op6_mix_sources": op6_mix_sources,
