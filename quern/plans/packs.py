@@ -149,6 +149,7 @@ def packet_invariants(spark, sf_dir):
     return packed_texts(spark, sf_dir).groupBy("query_id", "budget").agg(F.count("*").alias("n_items"), F.sum("cost").alias("cost"), F.sum("token_count").alias("token_count"), (F.sum("cost") <= F.col("budget")).alias("fits"))
 
 
+# Fixed value: how tables are referred to.
 REFERENCE = r"(?i)\bTable\s+[A-Z0-9]+(?:[.\-][A-Z0-9]+)+"
 
 
