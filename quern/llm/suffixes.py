@@ -47,9 +47,11 @@ GRAM = 20
 #: Difference cover of the residues by 8: every two residues have a common shift into it.
 PERIOD, COVER = 8, (0, 1, 2, 4)
 #: Suffixes sorted at a time.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 #: Bytes of a document that are looked at at a time; windows of one slab and the next don't share an anchor's block.
 SLAB = 1 << 22
+#: Bytes of several documents that are looked at at a time.
+PIECE = 1 << 18
 #: Bytes of what is looked up by document that may be broadcast; beyond, a join by shuffle does the same.
 BROADCAST_BYTES = 48 << 20
 
@@ -68,7 +70,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     """(text, anchor's hash, block's hash, first window, last window less first) of all anchors; windows count from each text's start."""
     out: list[list[np.ndarray]] = [[], [], [], [], []]
-    for lo, hi in pieces(texts, SLAB // 4):
+    for lo, hi in pieces(texts, PIECE):
         if hi - lo == 1 and len(texts[lo]) > SLAB:
             parts = [(texts[lo][s : s + SLAB + LENGTH - 1], s, lo) for s in range(0, len(texts[lo]) - LENGTH + 1, SLAB)]
             groups = [[p] for p in parts]
@@ -276,7 +278,7 @@ def _covered(docs: DataFrame, length: int) -> DataFrame:
     if length != LENGTH:
         raise ValueError(f"only {LENGTH} bytes are supported")
     spark = docs.sparkSession
-    prepare(spark)
+    prepare(spark, 250)
     count = max(2 * partitions(spark), buckets(docs, 32 << 20))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
