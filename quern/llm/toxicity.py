@@ -134,18 +134,18 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 7, epochs: int = EPO
         return Model(constant=float(labels.mean()) if len(labels) else 0.5)
     rng = np.random.default_rng(seed)
     # bags of all windows that are used, kept as one array with the place where each begins
-    kept_bucket, kept_size, owner = [], [], []
-    for lo in range(0, len(texts), 500):
-        window, bucket, first, windows = bags(texts[lo : lo + 500])
+    kept_bucket, kept_size, owner = bytearray(), [], []
+    for lo in range(0, len(texts), 100):
+        window, bucket, first, windows = bags(texts[lo : lo + 100])
         order = np.argsort(window, kind="stable")
         bucket, size = bucket[order], np.bincount(window, minlength=int(windows.sum()))
         chosen = np.zeros(len(size), dtype=np.bool_)
         for f, w in zip(first, windows, strict=True):
             chosen[f + (np.arange(w) if w <= WINDOWS_EACH else rng.choice(w, WINDOWS_EACH, replace=False))] = True
-        kept_bucket.append(bucket[np.repeat(chosen, size)].astype(np.int32))
+        kept_bucket += bucket[np.repeat(chosen, size)].astype(np.int32).tobytes()
         kept_size.append(size[chosen])
         owner.append(lo + np.repeat(np.arange(len(first)), windows)[chosen])
-    bucket, size, owner = np.concatenate(kept_bucket), np.concatenate(kept_size), np.concatenate(owner)
+    bucket, size, owner = np.frombuffer(kept_bucket, dtype=np.int32), np.concatenate(kept_size), np.concatenate(owner)
     start = np.cumsum(size) - size
     y = labels[owner]
     table_ = rng.normal(0, 0.1, (1 << BITS, dimensions))
@@ -162,7 +162,7 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 7, epochs: int = EPO
         rows = used
         if epoch >= 1:  # each text by the window that now scores highest, toxic texts' first
             flat = (table_ @ (soft[1] - soft[0])).astype(np.float64)
-            odds = np.concatenate([np.bincount(o, flat[b], len(r)) / (size[r] + EASE) for r in np.array_split(used, max(1, len(used) // 20000)) for b, o in [gathered(r)]])
+            odds = np.concatenate([np.bincount(o, flat[b], len(r)) / (size[r] + EASE) for r in np.array_split(used, max(1, len(used) // 4000)) for b, o in [gathered(r)]])
             order = np.lexsort((-odds, owner[used]))
             ranked = used[order]
             head = np.r_[True, owner[ranked][1:] != owner[ranked][:-1]]
