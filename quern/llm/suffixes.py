@@ -280,6 +280,7 @@ def _covered(docs: DataFrame, length: int) -> DataFrame:
     spark = docs.sparkSession
     prepare(spark, 250)
     count = max(2 * partitions(spark), buckets(docs, 32 << 20))
+    homes = buckets(docs, 128 << 20)  # of documents: what is found there is far smaller than what is looked through
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -324,7 +325,7 @@ def _covered(docs: DataFrame, length: int) -> DataFrame:
         np.minimum.at(low, group[at], ids[at])
         np.maximum.at(high, group[at], ids[at])
         ask = ~full & ((kinds > 1) & (low < high))[group]
-        return _home_table([*_homes(FULL, ids[full], lo[full], span[full], bucket, count), *_homes(ASK, ids[ask], lo[ask], span[ask], bucket, count)])
+        return _home_table([*_homes(FULL, ids[full], lo[full], span[full], bucket, homes), *_homes(ASK, ids[ask], lo[ask], span[ask], bucket, homes)])
 
     judged = stored(_source(docs).mapInArrow(send, "bucket long, ids binary, runs binary, gram binary, block binary, block2 binary, lo binary, span binary").groupBy("bucket").applyInArrow(judge, _HOME_SCHEMA), "judged")
 
@@ -363,7 +364,7 @@ def _covered(docs: DataFrame, length: int) -> DataFrame:
         bit = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
         mask = np.bincount(np.repeat(np.arange(len(ids)), windows), flags * (1 << bit), len(ids)).astype(np.int64)
         hit = mask > 0
-        return _home_table(_homes(MASK, ids[hit], lo[hit], mask[hit], bucket, count))
+        return _home_table(_homes(MASK, ids[hit], lo[hit], mask[hit], bucket, homes))
 
     texts = _by_document(_source(docs), asks, _bytes_of(asks, ["lo", "span", "bucket"]), "inner")
     masks = texts.mapInArrow(fetch, "bucket long, ids binary, lo binary, size binary, blocks binary").groupBy("bucket").applyInArrow(compare, _HOME_SCHEMA)
