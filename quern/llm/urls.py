@@ -6,9 +6,11 @@ context of up to ORDER bytes, interpolated (Witten-Bell) down to a uniform chanc
 verdict compares the difference of the two log-likelihoods, divided by the length, with a
 threshold calibrated on strings held out of the counts (crc32 of the url, remainder 0 by 5).
 
-Counts cover all urls. They are kept by hashed context in tables of 2**bits cells for each order,
-where bits grows with the number of urls up to MAX_BITS: this bounds what the driver
-gathers and what is broadcast (2 models x (ORDER + 1) orders x 2**bits cells of 12 bytes).
+Counts cover all urls and are exact: a byte with its context of ORDER bytes is a gram, a number of 48 bits, and how often
+each gram occurs is a stored table that grows with the urls. Contexts of 2 bytes and more are summed from
+the grams of one bucket, as a bucket holds all grams with the same two bytes before the last; what shorter contexts need
+is 2 x 256 x 256 counts, the only ones that the driver gathers. To score, the different grams of each chunk of urls
+go to the buckets and come back with their difference.
 
 Defined results: a null url, or one without "://", has an empty host and path, fits no rule, and
 its whole text (null: none) goes to the models; an empty string has a difference of 0 and is
@@ -26,12 +28,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from quern.runtime import prepare, table
+from quern.llm.shingles import mix
+from quern.runtime import partitions, prepare, stored, table
 
 ORDER = 5
-MIN_BITS, MAX_BITS = 12, 16
+#: Buckets of grams, as bits: they grow with the urls, and there are no more than contexts of two bytes.
+MIN_BITS, MAX_BITS = 5, 16
+#: Urls for each bucket, and rows in each chunk that is scored at once.
+BUCKET_URLS, CHUNK_ROWS = 1 << 15, 50_000
+#: Grams that a task counts before it sends them on.
+HELD_GRAMS = 1 << 20
 #: (rule, verdict): host, then the beginning of the path.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
@@ -72,52 +80,132 @@ def with_rules(pages: DataFrame, rules=RULES, *, url_col: str = "url", keep: tup
 # language models
 
 
-def keys(strings: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each byte of each string and each order k: the cell of its context of k bytes and of that context with the byte.
+def grams(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte of each string its gram, which is the ORDER bytes before it and the byte, and the string of each byte.
 
-    Gives (cells of contexts, cells of context and byte), each (ORDER + 1, bytes), and the string of each byte.
-    Contexts at a string's start hold a mark in place of bytes before it.
+    Contexts at a string's start hold zeros in place of bytes before it.
     """
     size = np.array([len(s) for s in strings], dtype=np.int64)
-    padded = b"".join([b"\0" * ORDER + s for s in strings])
-    x = np.frombuffer(padded, dtype=np.uint8).astype(np.uint64) + np.uint64(1)
+    x = np.frombuffer(b"".join([b"\0" * ORDER + s for s in strings]), dtype=np.uint8).astype(np.int64)
     owner = np.repeat(np.arange(len(strings)), size)
     at = np.arange(size.sum()) + (owner + 1) * ORDER
-    context, full = np.empty((ORDER + 1, len(at)), np.int64), np.empty((ORDER + 1, len(at)), np.int64)
-    with np.errstate(over="ignore"):
-        h = np.zeros(len(at), dtype=np.uint64)
-        for k in range(ORDER + 1):
-            if k:
-                h = h * np.uint64(0x100000001B3) + x[at - k]
-            mark = (h + np.uint64(k + 1)) * np.uint64(0x9E3779B97F4A7C15)
-            mark ^= mark >> np.uint64(29)
-            context[k] = ((mark * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - bits)).astype(np.int64)
-            both = (mark ^ (x[at] * np.uint64(0x94D049BB133111EB))) * np.uint64(0xBF58476D1CE4E5B9)
-            full[k] = ((both ^ (both >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
-    return context, full, owner
+    gram = np.zeros(len(at), dtype=np.int64)
+    for k in range(ORDER, -1, -1):
+        gram = (gram << 8) | x[at - k]
+    return gram, owner
+
+
+def _bucket(gram: np.ndarray, bits: int) -> np.ndarray:
+    """Grams with the same two bytes before the last share a bucket."""
+    return (mix(((gram >> 8) & 0xFFFF).astype(np.uint64)) % np.uint64(1 << bits)).astype(np.int64)
+
+
+def _low(gram: np.ndarray, k: int) -> np.ndarray:
+    """What is left of grams for contexts of k bytes."""
+    return gram & ((1 << (8 * (k + 1))) - 1)
+
+
+def _step(p: np.ndarray, asked: np.ndarray, have: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Chances p after one more order: asked are grams of that order, have (ascending) those that occur n times."""
+    first = np.flatnonzero(np.r_[True, (have[1:] >> 8) != (have[:-1] >> 8)]) if len(have) else np.zeros(0, np.int64)
+    if not len(first):
+        return p
+    context, seen, kinds = have[first] >> 8, np.add.reduceat(n, first), np.diff(np.r_[first, len(have)])
+    c = np.minimum(np.searchsorted(context, asked >> 8), len(context) - 1)
+    known = context[c] == asked >> 8
+    g = np.minimum(np.searchsorted(have, asked), len(have) - 1)
+    pair = np.where(have[g] == asked, n[g], 0)
+    return np.where(known, (pair + kinds[c] * p) / (seen[c] + kinds[c]), p)
+
+
+def _differences(asked: np.ndarray, have: np.ndarray, counts: np.ndarray, short: np.ndarray) -> np.ndarray:
+    """Log of the chance of each asked gram as accepted less that as rejected.
+
+    have, counts: grams (ascending) of the asked ones' buckets and how often each model saw them, (2, grams); short: counts by [model, byte before, byte].
+    """
+    total = np.zeros(len(asked))
+    for model, sign in ((0, -1.0), (1, 1.0)):
+        p = np.full(len(asked), 1 / 256)
+        single, pairs = short[model].sum(0), short[model].reshape(-1)
+        for k, n in ((0, single), (1, pairs)):
+            own = np.flatnonzero(n)
+            p = _step(p, _low(asked, k), own, n[own])
+        own = counts[model] > 0
+        g, n = have[own], counts[model][own]
+        for k in range(2, ORDER + 1):
+            low, back = np.unique(_low(g, k), return_inverse=True)
+            p = _step(p, _low(asked, k), low, np.bincount(back, n, len(low)).astype(np.int64))
+        total += sign * np.log(p)
+    return total
 
 
 @dataclass
 class Model:
-    """Counts by [model, order, cell]: of a context, of its different followers, of context and byte. Model 0 rejects, 1 accepts."""
+    """counts: stored (bucket, grams binary, reject binary, accept binary), the grams of a bucket and how often each model saw them; short: counts by [model, byte before, byte]."""
 
     bits: int
-    seen: np.ndarray
-    kinds: np.ndarray
-    pairs: np.ndarray
+    counts: DataFrame
+    short: np.ndarray
     threshold: float = 0.0
 
+    def scored(self, rows: DataFrame) -> DataFrame:
+        """rows (text binary, and others) with difference: the log-likelihood as accepted less that as rejected, divided by length; 0 for an empty string, null for null."""
+        spark, bits = rows.sparkSession, self.bits
+        prepare(spark)
+        shared = spark.sparkContext.broadcast(self.short)
+        rows = stored(rows.withColumn("_row", F.monotonically_increasing_id()), "url-rows")
+        chunks = max(partitions(spark), -(-rows.count() // CHUNK_ROWS))
+        rows = rows.withColumn("_chunk", F.pmod(F.xxhash64("_row"), F.lit(chunks))).drop("_row")
+
+        def ask(t: pa.Table) -> pa.Table:
+            gram = np.unique(grams(t.column("text").to_pylist())[0])
+            bucket = _bucket(gram, bits)
+            order = np.argsort(bucket, kind="stable")
+            gram, bucket = gram[order], bucket[order]
+            cuts = _cuts(bucket)
+            chunk = t.column("_chunk")[0].as_py()
+            return pa.table({"bucket": pa.array([int(bucket[a]) for a, _ in cuts], pa.int64()), "chunk": pa.array([chunk] * len(cuts), pa.int64()), "grams": pa.array([gram[a:z].tobytes() for a, z in cuts], pa.binary())})
+
+        def answer(asks: pa.Table, own: pa.Table) -> pa.Table:
+            have, reject, accept = (_flat(own, c) for c in ("grams", "reject", "accept"))
+            asked = asks.column("grams").to_pylist()
+            one, back = np.unique(_flat(asks, "grams"), return_inverse=True)
+            found = _differences(one, have, np.stack([reject, accept]), shared.value)[back]
+            ends = np.cumsum([len(g) // 8 for g in asked]).tolist()
+            return pa.table({"chunk": asks.column("chunk"), "grams": pa.array(asked, pa.binary()), "found": pa.array([found[z - len(g) // 8 : z].tobytes() for g, z in zip(asked, ends, strict=True)], pa.binary())})
+
+        asks = rows.where("length(text) > 0").select("_chunk", "text").groupBy("_chunk").applyInArrow(ask, "bucket long, chunk long, grams binary")
+        answers = asks.groupBy("bucket").cogroup(self.counts.groupBy("bucket")).applyInArrow(answer, "chunk long, grams binary, found binary")
+        schema = StructType([f for f in rows.schema.fields if f.name != "_chunk"] + [StructField("difference", DoubleType())])
+
+        def put(t: pa.Table, found: pa.Table) -> pa.Table:
+            have, d = _flat(found, "grams"), _flat(found, "found", np.float64)
+            order = np.argsort(have)
+            have, d = have[order], d[order]
+            texts = t.column("text").to_pylist()
+            strings = [x or b"" for x in texts]
+            gram, owner = grams(strings)
+            total = np.bincount(owner, d[np.searchsorted(have, gram)], len(strings)) if len(gram) else np.zeros(len(strings))
+            total = total / np.maximum([len(x) for x in strings], 1)
+            out = t.drop_columns(["_chunk"])
+            return out.append_column("difference", pa.array([None if x is None else v for x, v in zip(texts, total.tolist(), strict=True)], pa.float64()))
+
+        return rows.groupBy("_chunk").cogroup(answers.groupBy("chunk")).applyInArrow(put, schema)
+
     def differences(self, strings: list[bytes]) -> np.ndarray:
-        """Log-likelihood as accepted less that as rejected, divided by length; 0 for an empty string."""
-        context, full, owner = keys(strings, self.bits)
-        total = np.zeros(len(strings))
-        for model, sign in ((0, -1.0), (1, 1.0)):
-            p = np.full(len(owner), 1 / 256)
-            for k in range(ORDER + 1):
-                n, t = self.seen[model, k, context[k]], self.kinds[model, k, context[k]]
-                p = np.where(n > 0, (self.pairs[model, k, full[k]] + t * p) / np.maximum(n + t, 1), p)
-            total += sign * np.bincount(owner, np.log(p), len(strings))
-        return total / np.maximum([len(s) for s in strings], 1)
+        """scored() for strings at hand."""
+        rows = self.counts.sparkSession.createDataFrame([(k, bytearray(s)) for k, s in enumerate(strings)], "place long, text binary")
+        return np.array([r.difference for r in sorted(self.scored(rows).collect(), key=lambda r: r.place)])
+
+
+def _cuts(v: np.ndarray) -> list[tuple[int, int]]:
+    """Where runs of equal values begin and end."""
+    first = np.flatnonzero(np.r_[True, v[1:] != v[:-1]]) if len(v) else np.zeros(0, np.int64)
+    return list(zip(first.tolist(), np.r_[first, len(v)][1:].tolist(), strict=True))
+
+
+def _flat(t: pa.Table, name: str, kind=np.int64) -> np.ndarray:
+    return np.frombuffer(b"".join(t.column(name).to_pylist()), dtype=kind)
 
 
 def _strings(column: pa.Array) -> list[bytes]:
@@ -129,38 +217,53 @@ def train(ruled: DataFrame) -> Model:
     spark = ruled.sparkSession
     prepare(spark)
     decided = ruled.where("ruled IS NOT NULL").select(F.col("_url").alias("url"), (F.col("ruled") == "allow").cast("int").alias("model"), (F.crc32(F.col("_url").cast("binary")) % 5 == 0).alias("held"))
-    n = decided.count()
-    bits = int(np.clip(int(max(n, 1) * 8 - 1).bit_length(), MIN_BITS, MAX_BITS))
+    bits = int(np.clip((decided.count() // BUCKET_URLS).bit_length(), MIN_BITS, MAX_BITS))
+
+    def packed(gram: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        bucket = _bucket(gram, bits)
+        order = np.argsort(bucket, kind="stable")
+        gram, n, bucket = gram[order], n[:, order], bucket[order]
+        cuts = _cuts(bucket)
+        columns = [pa.array([x[a:z].tobytes() for a, z in cuts], pa.binary()) for x in (gram, n[0], n[1])]
+        yield pa.RecordBatch.from_arrays([pa.array([int(bucket[a]) for a, _ in cuts], pa.int64()), *columns], ["bucket", "grams", "reject", "accept"])
+
+    def added(gram: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        one, back = np.unique(gram, return_inverse=True)
+        return one, np.stack([np.bincount(back, x, len(one)).astype(np.int64) for x in n])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[int, int], np.ndarray] = {}
+        gram, n = np.zeros(0, np.int64), np.zeros((2, 0), np.int64)
+        for b in batches:
+            model = np.array(b.column("model").to_pylist(), dtype=np.int64)
+            g, owner = grams(_strings(b.column("url")))
+            own = model[owner]
+            gram, n = added(np.r_[gram, g], np.concatenate([n, np.stack([own == 0, own == 1]).astype(np.int64)], axis=1))
+            if len(gram) > HELD_GRAMS:
+                yield from packed(gram, n)
+                gram, n = gram[:0], n[:, :0]
+        yield from packed(gram, n)
+
+    def summed(t: pa.Table) -> pa.Table:
+        gram, n = added(_flat(t, "grams"), np.stack([_flat(t, "reject"), _flat(t, "accept")]))
+        return pa.table({"bucket": t.column("bucket")[:1], "grams": pa.array([gram.tobytes()], pa.binary()), "reject": pa.array([n[0].tobytes()], pa.binary()), "accept": pa.array([n[1].tobytes()], pa.binary())})
+
+    schema = "bucket long, grams binary, reject binary, accept binary"
+    parts = decided.where("NOT held").select("url", "model").mapInArrow(run, schema)
+    counts = stored(parts.groupBy("bucket").applyInArrow(summed, schema), "url-counts")
+
+    def shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, 1 << 16), dtype=np.int64)
         for b in batches:
-            model, strings = np.array(b.column("model").to_pylist(), dtype=np.int64), _strings(b.column("url"))
-            context, full, owner = keys(strings, bits)
-            for k in range(ORDER + 1):
-                code = (model[owner] << (2 * bits)) | (context[k] << bits) | full[k]
-                code, count = np.unique(code, return_counts=True)
-                old = seen.get(k)
-                if old is not None:
-                    code, back = np.unique(np.r_[old[0], code], return_inverse=True)
-                    count = np.bincount(back, np.r_[old[1], count], len(code)).astype(np.int64)
-                seen[k] = (code, count)
-        for k, (code, count) in seen.items():
-            for lo in range(0, len(code), 100_000):
-                c = code[lo : lo + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), k, np.int32)), pa.array(c), pa.array(count[lo : lo + 100_000])], ["k", "code", "n"])
-
-    parts = decided.where("NOT held").select("url", "model").mapInArrow(run, "k int, code long, n long")
-    # (context, byte) cells first, as followers are counted once each; then at most 2**bits cells for each model and order
-    cells = parts.groupBy("k", "code").agg(F.sum("n").alias("n")).select("k", F.shiftright("code", 2 * bits).alias("model"), (F.shiftright("code", bits).bitwiseAND(F.lit((1 << bits) - 1))).alias("context"), F.col("code").bitwiseAND(F.lit((1 << bits) - 1)).alias("pair"), "n")
-    by_context = cells.groupBy("model", "k", F.col("context").alias("cell")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
-    by_pair = cells.groupBy("model", "k", F.col("pair").alias("cell")).agg(F.sum("n").alias("n"), F.lit(None).cast("long").alias("kinds"))
-    found = by_context.unionByName(by_pair).toPandas()
-    shape = (2, ORDER + 1, 1 << bits)
-    seen, kinds, pairs = np.zeros(shape, np.float32), np.zeros(shape, np.float32), np.zeros(shape, np.float32)
-    for own, out, value in ((found[found.kinds.notna()], seen, "n"), (found[found.kinds.notna()], kinds, "kinds"), (found[found.kinds.isna()], pairs, "n")):
-        out[own.model.to_numpy(int), own.k.to_numpy(int), own.cell.to_numpy(int)] = own[value].to_numpy(float)
-    model = Model(bits, seen, kinds, pairs)
+            gram = _flat(b, "grams")
+            for model, c in enumerate(("reject", "accept")):
+                np.add.at(total[model], _low(gram, 1), _flat(b, c))
+        m, pair = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(m.astype(np.int32)), pa.array(pair.astype(np.int32)), pa.array(total[m, pair])], ["model", "pair", "n"])
+
+    found = counts.mapInArrow(shortened, "model int, pair int, n long").groupBy("model", "pair").agg(F.sum("n").alias("n")).toPandas()
+    short = np.zeros((2, 1 << 16), dtype=np.int64)
+    short[found.model.to_numpy(int), found.pair.to_numpy(int)] = found.n.to_numpy(int)
+    model = Model(bits, counts, short.reshape(2, 256, 256))
     model.threshold = _threshold(decided.where("held").select("url", "model"), model)
     return model
 
@@ -168,17 +271,17 @@ def train(ruled: DataFrame) -> Model:
 def _threshold(held: DataFrame, model: Model) -> float:
     """Where accepted and rejected held-out strings are told apart best (mean of the two shares), from a histogram of their differences."""
     edges = np.linspace(-4, 4, 801)
-    shared = held.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, len(edges) + 1), dtype=np.int64)
         for b in batches:
-            at = np.searchsorted(edges, shared.value.differences(_strings(b.column("url"))), side="right")
+            at = np.searchsorted(edges, b.column("difference").to_numpy(zero_copy_only=False), side="right")
             np.add.at(total, (np.array(b.column("model").to_pylist(), dtype=np.int64), at), 1)
         m, at = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(m.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(total[m, at])], ["model", "at", "n"])
 
-    found = held.mapInArrow(run, "model int, at int, n long").groupBy("model", "at").agg(F.sum("n").alias("n")).toPandas()
+    scored = model.scored(held.select("model", F.col("url").cast("binary").alias("text"))).select("model", "difference")
+    found = scored.mapInArrow(run, "model int, at int, n long").groupBy("model", "at").agg(F.sum("n").alias("n")).toPandas()
     total = np.zeros((2, len(edges) + 1))
     total[found.model.to_numpy(int), found["at"].to_numpy(int)] = found.n.to_numpy(float)
     if not total.sum(1).all():
@@ -191,24 +294,10 @@ def _threshold(held: DataFrame, model: Model) -> float:
 
 def judge(ruled: DataFrame, model: Model) -> DataFrame:
     """ruled's rows with difference (null where a rule decides) and verdict."""
-    spark = ruled.sparkSession
-    prepare(spark)
-    shared = spark.sparkContext.broadcast(model)
-    schema = StructType([*ruled.schema.fields, StructField("difference", DoubleType()), StructField("verdict", StringType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for b in batches:
-            verdict = b.column("ruled").to_pylist()
-            open_ = [k for k, v in enumerate(verdict) if v is None]
-            urls = b.column("_url").to_pylist()
-            difference: list[float | None] = [None] * len(verdict)
-            for k, d in zip(open_, m.differences([(urls[k] or "").encode() for k in open_]).tolist(), strict=True):
-                difference[k] = d
-                verdict[k] = "allow" if not urls[k] or d >= m.threshold else "block"
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(difference, pa.float64()), pa.array(verdict, pa.string())], [*b.schema.names, "difference", "verdict"])
-
-    return ruled.mapInArrow(run, schema)
+    text = F.when(F.col("ruled").isNull(), F.coalesce(F.col("_url"), F.lit("")).cast("binary"))
+    scored = model.scored(ruled.withColumn("text", text))
+    verdict = F.when((F.length("text") == 0) | (F.col("difference") >= model.threshold), "allow").otherwise("block")
+    return scored.select(*ruled.columns, "difference", F.coalesce("ruled", verdict).alias("verdict"))
 
 
 def op8_url_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,3 +79,18 @@ def test_query(spark, sf):
     verdict = dict(U.RULES)
     assert all(r.verdict == verdict[r.rule] for r in rows if r.rule) and any(r.rule for r in rows)
     assert all((r.difference is None) == (r.rule is not None) and (r.difference is None or np.isfinite(r.difference)) for r in rows)
+
+
+def test_counts_grow_with_the_urls(spark):
+    """At the production setting, many unlike urls do not blur each other's counts."""
+    r = np.random.default_rng(8)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz0123456789"))
+    word = lambda: "".join(r.choice(letters, 12))
+    urls = [f"http://a.example.net/en/{word()}" if k % 2 else f"http://b.net/{word()}" for k in range(12_000)]
+    model = U.train(U.with_rules(pages(spark, urls)))
+    import zlib
+
+    kept = [u.encode() for u in urls if zlib.crc32(u.encode()) % 5]
+    good, bad = [u for u in kept if b"example" in u], [u for u in kept if b"example" not in u]
+    texts = [f"http://c.org/{word()}".encode() for _ in range(5)] + [good[7], bad[7]]
+    assert model.differences(texts) == pytest.approx([(slow(good, t) - slow(bad, t)) / len(t) for t in texts], abs=1e-6)
