@@ -442,11 +442,18 @@ def spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", le
 
 
 def cut(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with what is covered cut out of its text; docs' columns. Ids have to be present and to differ."""
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    cuts = stored(_covered(plain, LENGTH), "cuts").select(F.col("id").alias("_id"), F.col("begin").alias("_begin"), F.col("end").alias("_end"))
+    """docs with what is covered cut out of its text; docs' columns."""
+    plain, whole = _numbered(docs, id_col, text_col)
+    own = F.col("id") if whole else F.col("place")
+    cuts = stored(_covered(plain.select(own.alias("id"), "text"), LENGTH), "cuts").select(F.col("id").alias("_id"), F.col("begin").alias("_begin"), F.col("end").alias("_end"))
     small = _bytes_of(cuts, ["_begin", "_end"]) <= BROADCAST_BYTES
-    joined = docs.join(F.broadcast(cuts) if small else cuts, F.col(id_col) == F.col("_id"), "left").drop("_id")
+    found = F.broadcast(cuts) if small else cuts
+    if whole:
+        joined = docs.join(found, F.col(id_col) == F.col("_id"), "left").drop("_id")
+    else:  # a row is known by its id and text
+        found = plain.withColumnsRenamed({"id": "_own", "text": "_text"}).join(found, F.col("place") == F.col("_id")).drop("place", "part", "_id")
+        same = F.col(id_col).cast("long").eqNullSafe(F.col("_own")) & F.col(text_col).cast("string").eqNullSafe(F.col("_text"))
+        joined = docs.join(found, same, "left").drop("_own", "_text")
     at = docs.columns.index(text_col)
     schema = docs.schema
 

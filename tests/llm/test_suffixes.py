@@ -110,3 +110,11 @@ def test_cut_keeps_columns(spark):
     kept = {r.doc_id: bytes(r.kept).decode("utf-8", "ignore") for r in S.spans(docs).collect()}
     assert {r.doc_id: r.text for r in out.collect()} == {k: (None if texts[k] is None else v) for k, v in kept.items()}
     assert S.cut(docs.where("false")).count() == 0 and S.spans(docs.where(F.lit(False))).count() == 0
+
+
+def test_cut_repeated_and_null_ids(spark):
+    p = "this passage is longer than fifty bytes, so that it counts as one"
+    docs = spark.createDataFrame([(2, "b" + p), (1, p), (2, "a" + p), (1, p), (None, p + "!"), (None, None)], "doc_id long, text string")
+    out = S.cut(docs)
+    assert out.schema == docs.schema
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(2, "b"), (1, ""), (2, "a"), (1, ""), (None, p + "!"), (None, None)], key=str)
