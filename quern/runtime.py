@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows in one Arrow batch handed to Python. Texts may be long, so batches stay small.
+#: Rows and bytes of one Arrow batch handed to Python. Texts may be long, so batches stay small.
 ARROW_ROWS = 1000
+ARROW_BYTES = "4m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,18 +21,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound the rows of an Arrow batch, so that one batch of long texts fits a worker."""
+    """Bound the rows and the bytes of an Arrow batch, so that one batch of long texts fits a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+
+
+@functools.lru_cache(maxsize=1)
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # another C library
+        return None
+
+
+def tidy() -> None:
+    """Give memory that is free in this Python worker back to the system: workers live longer than tasks."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if (trim := _trim()) is not None:
+        trim(0)
+
+
+def fresh(name: str, *taken: DataFrame | list[str]) -> str:
+    """A column name like `name` that no column has, whatever its case."""
+    used = {c.lower() for t in taken for c in (t.columns if isinstance(t, DataFrame) else t)}
+    while name.lower() in used:
+        name += "_"
+    return name
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors and the driver share.
 
-    A cluster names it in spark.checkpoint.dir. Only where that is unset, as in tests,
+    A cluster names it in spark.checkpoint.dir. Only where that is unset and all runs in one process, as in tests,
     a folder under /tmp/checkpoints is set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = f"file:///tmp/checkpoints/{os.getpid()}"
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(found)
@@ -55,16 +86,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
     out = spark.read.parquet(path)
-    _PATHS[id(out)] = path
+    out._quern_path = path
     return out
 
 
-_PATHS: dict[int, str] = {}
-
-
 def discard(df: DataFrame) -> None:
     """Remove what stored() wrote for df at once; only where nothing that is still to run reads it."""
-    if path := _PATHS.pop(id(df), None):
+    if path := df.__dict__.pop("_quern_path", None):
         _remove(df.sparkSession, path)
 
 
