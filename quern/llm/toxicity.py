@@ -4,7 +4,7 @@ A text is cut into windows of WINDOW words. A window's bag holds the character 2
 words with their word edges (a space stands for each edge), hashed into BUCKETS rows of an embedding table.
 The mean of a bag's embeddings goes into a softmax over two classes. As a few toxic words in a
 long text would drown in one mean, a text's score is that of its most toxic window; training
-takes each labelled text by its windows, at first all of them and then those that score highest.
+takes each labelled text by its windows: at first all of them, then the quarter, the sixteenth and at last the one that score highest.
 Embeddings and softmax learn together by Adagrad. Misspelt words share n-grams with words that
 were seen, and so their embeddings.
 
@@ -12,8 +12,9 @@ For scoring, embeddings and softmax collapse into one number for each bucket, so
 log odds are a mean of numbers: one pass over the bytes in numpy, whole texts, no shuffle.
 
 The fit uses a bounded sample of labelled rows: at most SAMPLE of them, those whose ids have the
-least seeded hash, and of each at most the windows given by WINDOWS_EACH (spread over the whole
-text, seeded). Everything else covers all rows and whole texts.
+least seeded hash, each with all its windows. Bags are made again in each pass, a few texts at a time: what
+the driver holds are the sample's texts and the bags of the few windows that a pass chooses of each. Everything
+else covers all rows.
 
 Defined results: null, empty and blank texts have an empty bag, and the score of the bias alone;
 a fit without labels of both classes gives every text the share of class 1, or 0.5 without any;
@@ -33,16 +34,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quern.llm.quality import held_out, sample
-from quern.runtime import prepare, table
+from quern.llm.shingles import pieces
+from quern.runtime import prepare, table, tidy
 
 SAMPLE = 6_000
-WINDOWS_EACH = 40
 WINDOW = 24
 GRAMS = (2, 3, 4, 5, 6)
 BITS = 17
 DIMENSIONS = 8
-EPOCHS = 6
+#: Passes over the sample, and rounds over the windows that a pass chooses.
+EPOCHS, ROUNDS = 4, 3
+#: Bags of a step, and the least steps over the windows that a pass chooses: small samples take more rounds.
+BAGS, STEPS = 128, 250
 RATE = 0.5
+#: Windows of one text together weigh at most as much as so many; the best ones of a clean text that the last pass uses.
+FIRST_WEIGHT, CLEAN_WINDOWS = 8, 4
+#: Bytes of text whose bags are made at a time.
+PART = 1 << 19
 #: Added to a bag's size in its mean: short bags are drawn towards the bias.
 EASE = 40
 TOXIC_FROM = 0.5
@@ -129,68 +137,104 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(odds, -700, 700)))
 
 
-def fit(texts: list[bytes], labels: np.ndarray, seed: int = 7, epochs: int = EPOCHS, dimensions: int = DIMENSIONS) -> Model:
-    if len(set(labels.tolist())) < 2:
-        return Model(constant=float(labels.mean()) if len(labels) else 0.5)
-    rng = np.random.default_rng(seed)
-    # bags of all windows that are used, kept as one array with the place where each begins
-    kept_bucket, kept_size, owner = bytearray(), [], []
-    for lo in range(0, len(texts), 100):
-        window, bucket, first, windows = bags(texts[lo : lo + 100])
-        order = np.argsort(window, kind="stable")
-        bucket, size = bucket[order], np.bincount(window, minlength=int(windows.sum()))
-        chosen = np.zeros(len(size), dtype=np.bool_)
-        for f, w in zip(first, windows, strict=True):
-            chosen[f + (np.arange(w) if w <= WINDOWS_EACH else rng.choice(w, WINDOWS_EACH, replace=False))] = True
-        kept_bucket += bucket[np.repeat(chosen, size)].astype(np.int32).tobytes()
-        kept_size.append(size[chosen])
-        owner.append(lo + np.repeat(np.arange(len(first)), windows)[chosen])
-    bucket, size, owner = np.frombuffer(kept_bucket, dtype=np.int32), np.concatenate(kept_size), np.concatenate(owner)
+def _parts(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(bucket, bag sizes, text of each bag) for all windows that aren't empty, some texts at a time; a bag's buckets follow each other."""
+    for lo, hi in pieces(texts, PART):
+        window, bucket, _, windows = bags(texts[lo:hi])
+        size = np.bincount(window, minlength=int(windows.sum()))
+        owner = lo + np.repeat(np.arange(hi - lo), windows)
+        yield bucket[np.argsort(window, kind="stable")].astype(np.int32), size[size > 0], owner[size > 0]
+
+
+def _gathered(bucket: np.ndarray, size: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets of the bags in rows, the place of each one's bag in rows)."""
     start = np.cumsum(size) - size
-    y = labels[owner]
-    table_ = rng.normal(0, 0.1, (1 << BITS, dimensions))
-    soft, bias = rng.normal(0, 0.1, (2, dimensions)), np.log(np.maximum(np.bincount(labels, minlength=2), 1) / len(labels))
-    grown, soft_grown, bias_grown = np.full(1 << BITS, 1e-4), np.full((2, dimensions), 1e-4), np.full(2, 1e-4)
+    n = size[rows]
+    inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return bucket[np.repeat(start[rows], n) + inside], np.repeat(np.arange(len(rows)), n)
+
+
+@dataclass
+class Joint:
+    """What is learned together: an embedding for each bucket, the softmax's rows and biases, and Adagrad's sums of squares."""
+
+    table: np.ndarray
+    soft: np.ndarray
+    bias: np.ndarray
+    grown: tuple[np.ndarray, np.ndarray, np.ndarray]
+
+    def step(self, bucket: np.ndarray, bag: np.ndarray, size: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
+        """One batch of bags: the gradient of the softmax's cross entropy by softmax and embeddings."""
+        n, d = size[:, None] + EASE, self.table.shape[1]
+        mean = np.stack([np.bincount(bag, self.table[bucket, k], len(y)) for k in range(d)], axis=1) / n
+        p = chances(mean, self.soft, self.bias)
+        p[np.arange(len(y)), y] -= 1
+        p *= weight[:, None] / weight.sum()
+        g_soft, g_bias, g_mean = p.T @ mean, p.sum(0), p @ self.soft / n * 64  # bags are long: a larger step for embeddings
+        touched, inverse = np.unique(bucket, return_inverse=True)
+        g = np.stack([np.bincount(inverse, g_mean[bag, k], len(touched)) for k in range(d)], axis=1)
+        self.grown[0][touched] += (g**2).mean(1)
+        self.table[touched] -= RATE * g / np.sqrt(self.grown[0][touched])[:, None]
+        self.grown[1][:] += g_soft**2
+        self.grown[2][:] += g_bias**2
+        self.soft -= 0.1 * g_soft / np.sqrt(self.grown[1])
+        self.bias -= 0.1 * g_bias / np.sqrt(self.grown[2])
 
-    def gathered(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n = size[rows]
-        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return bucket[np.repeat(start[rows], n) + inside], np.repeat(np.arange(len(rows)), n)
+    def collapsed(self) -> Model:
+        """The same odds with one number for each bucket."""
+        return Model(self.table @ (self.soft[1] - self.soft[0]), float(self.bias[1] - self.bias[0]))
+
+
+def chances(mean: np.ndarray, soft: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    logit = mean @ soft.T + bias
+    p = np.exp(logit - logit.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
+
+
+def joint(texts: list[bytes], labels: np.ndarray, seed: int = 7, epochs: int = EPOCHS, dimensions: int = DIMENSIONS) -> Joint:
+    rng = np.random.default_rng(seed)
+    order = rng.permutation(len(texts))
+    texts, labels = [texts[k] for k in order.tolist()], labels[order]
+    bias = np.log(np.maximum(np.bincount(labels, minlength=2), 1) / len(labels))
+    grown = np.full(1 << BITS, 1e-4), np.full((2, dimensions), 1e-4), np.full(2, 1e-4)
+    model = Joint(rng.normal(0, 0.1, (1 << BITS, dimensions)), rng.normal(0, 0.1, (2, dimensions)), bias, grown)
+
+    def learn(bucket: np.ndarray, size: np.ndarray, owner: np.ndarray, weight: np.ndarray) -> None:
+        for rows in np.array_split(rng.permutation(len(size)), max(1, len(size) // BAGS)):
+            if len(rows):
+                model.step(*_gathered(bucket, size, rows), size[rows], labels[owner[rows]], weight[rows])
 
-    used = np.flatnonzero(size > 0)
     for epoch in range(epochs):
-        rows = used
-        if epoch >= 1:  # each text by the window that now scores highest, toxic texts' first
-            flat = (table_ @ (soft[1] - soft[0])).astype(np.float64)
-            odds = np.concatenate([np.bincount(o, flat[b], len(r)) / (size[r] + EASE) for r in np.array_split(used, max(1, len(used) // 4000)) for b, o in [gathered(r)]])
-            order = np.lexsort((-odds, owner[used]))
-            ranked = used[order]
+        if not epoch:  # all windows of all texts
+            for bucket, size, owner in _parts(texts):
+                windows = np.bincount(owner, minlength=len(texts))[owner]
+                learn(bucket, size, owner, np.minimum(1.0, FIRST_WEIGHT / windows))
+            continue
+        flat = model.collapsed().weight
+        chosen = []
+        for bucket, size, owner in _parts(texts):  # each text by the windows that now score highest
+            if not len(size):
+                continue
+            odds = np.bincount(np.repeat(np.arange(len(size)), size), flat[bucket], len(size)) / (size + EASE)
+            ranked = np.lexsort((-odds, owner))
             head = np.r_[True, owner[ranked][1:] != owner[ranked][:-1]]
             place = np.arange(len(ranked)) - np.maximum.accumulate(np.where(head, np.arange(len(ranked)), 0))
-            # the best window of a toxic text; the best few of a clean one, which all have to be clean
-            rows = ranked[place < np.where(labels[owner[ranked]] == 1, 1, 4)]
-        for part in np.array_split(rng.permutation(rows), max(1, len(rows) // 256)):
-            b, o = gathered(part)
-            n = size[part][:, None] + EASE
-            mean = np.zeros((len(part), dimensions))
-            for d in range(dimensions):
-                mean[:, d] = np.bincount(o, table_[b, d], len(part))
-            mean /= n
-            logit = mean @ soft.T + bias
-            p = np.exp(logit - logit.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(part)), y[part]] -= 1
-            p /= len(part)
-            g_soft, g_bias, g_mean = p.T @ mean, p.sum(0), p @ soft / n * 64  # bags are long: a larger step for embeddings
-            touched, inverse = np.unique(b, return_inverse=True)
-            g = np.stack([np.bincount(inverse, g_mean[o, d], len(touched)) for d in range(dimensions)], axis=1)
-            grown[touched] += (g**2).mean(1)
-            table_[touched] -= RATE * g / np.sqrt(grown[touched])[:, None]
-            soft_grown += g_soft**2
-            bias_grown += g_bias**2
-            soft -= 0.1 * g_soft / np.sqrt(soft_grown)
-            bias = bias - 0.1 * g_bias / np.sqrt(bias_grown)
-    return Model(table_ @ (soft[1] - soft[0]), float(bias[1] - bias[0]))
+            # at last the best window of a toxic text, and the best few of a clean one, which all have to be clean
+            share = np.ceil(np.bincount(owner, minlength=len(texts))[owner[ranked]] / 4**epoch if epoch < epochs - 1 else np.zeros(len(ranked)))
+            rows = np.sort(ranked[place < np.maximum(share, np.where(labels[owner[ranked]] == 1, 1, CLEAN_WINDOWS))])
+            chosen.append((_gathered(bucket, size, rows)[0], size[rows], owner[rows]))
+        if chosen:
+            bucket, size, owner = (np.concatenate(c) for c in zip(*chosen, strict=True))
+            kept = np.bincount(owner, minlength=len(texts))[owner]
+            for _ in range(max(ROUNDS, STEPS * BAGS // max(1, len(size)))):
+                learn(bucket, size, owner, np.minimum(1.0, FIRST_WEIGHT / kept))
+    return model
+
+
+def fit(texts: list[bytes], labels: np.ndarray, seed: int = 7, epochs: int = EPOCHS, dimensions: int = DIMENSIONS) -> Model:
+    if len(set(labels.tolist())) < 2:
+        return Model(constant=float(labels.mean()) if len(labels) else 0.5)
+    return joint(texts, labels, seed, epochs, dimensions).collapsed()
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SAMPLE, *, id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -215,16 +259,10 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", score_col: s
         for b in batches:
             at = b.schema.names.index(score_col)
             texts = [t or b"" for t in b.column(at).to_pylist()]
-            found, lo = [], 0
-            while lo < len(texts):  # a few MB of text at a time, whatever the batch
-                hi, total = lo, 0
-                while hi < len(texts) and (hi == lo or total + len(texts[hi]) < 1 << 20):
-                    total += len(texts[hi])
-                    hi += 1
-                found.append(shared.value.score(texts[lo:hi]))
-                lo = hi
+            found = [shared.value.score(texts[lo:hi]) for lo, hi in pieces(texts)]  # about a MB of text at a time, whatever the batch
             columns = [pa.array(np.concatenate([np.zeros(0), *found])) if k == at else b.column(k) for k in range(b.num_columns)]
             yield pa.RecordBatch.from_arrays(columns, b.schema.names)
+        tidy()
 
     return source.mapInArrow(run, schema)
 
