@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.words import PATTERN, UnitCache
-from quern.runtime import prepare, table
+from quern.runtime import prepare, table, tidy
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 _NONE = np.int64(1) << 62
@@ -40,8 +40,10 @@ class Bpe:
     def __init__(self, path: str):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.tokens = {i: t for t, i in self.ranks.items()}
-        self.size = max(self.tokens) + 1
+        self.size = max(self.ranks.values()) + 1
+        self.tokens: list[bytes | None] = [None] * self.size
+        for t, i in self.ranks.items():
+            self.tokens[i] = t
         self.bytes_ids = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int64)
         pairs = {}
         for token, rank in self.ranks.items():
@@ -49,10 +51,8 @@ class Bpe:
                 left, right = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
                 if left is not None and right is not None:
                     pairs[left * self.size + right] = rank
-        self.pairs = pairs
         self.pair_keys, self.pair_ranks = self._hashed(pairs)
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.whole = {t: np.array([i], dtype=self.kind).tobytes() for t, i in self.ranks.items()}
         self.cache = UnitCache(self._learn, self.kind)
 
     # one tree
@@ -64,7 +64,8 @@ class Bpe:
         width = 1 << max(1, n - 1).bit_length()
         none = (1 << 62, 0)
         tree = [none] * (2 * width)
-        pair = lambda i, j: self.pairs.get(ids[i] * self.size + ids[j])
+        tokens, ranks = self.tokens, self.ranks
+        pair = lambda i, j: ranks.get(tokens[ids[i]] + tokens[ids[j]])
         for i in range(n - 1):
             if (r := pair(i, i + 1)) is not None:
                 tree[width + i] = (r, i)
@@ -104,9 +105,9 @@ class Bpe:
         return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
 
     def _hashed(self, pairs: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        """An open-addressed table of pairs, at most an eighth full; lookups end at an empty slot."""
-        bits = max(4, (8 * len(pairs)).bit_length())
-        keys, ranks = np.full(1 << bits, -1, dtype=np.int64), np.full(1 << bits, -1, dtype=np.int64)
+        """An open-addressed table of pairs, at most a quarter full; lookups end at an empty slot."""
+        bits = max(4, (4 * len(pairs)).bit_length())
+        keys, ranks = np.full(1 << bits, -1, dtype=np.int64), np.full(1 << bits, -1, dtype=np.int32)
         todo = np.array(list(pairs), dtype=np.int64)
         value = np.array(list(pairs.values()), dtype=np.int64)
         slot = self._slot(todo, bits)
@@ -187,7 +188,8 @@ class Bpe:
 
     def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of each match as bytes of self.kind."""
-        out = list(map(self.whole.get, pieces))
+        size, ranks = self.kind.itemsize, self.ranks
+        out = [None if i is None else i.to_bytes(size, "little") for i in map(ranks.get, pieces)]
         by_width: dict[int, list[int]] = {}
         for k, found in enumerate(out):
             if found is None:
@@ -213,13 +215,18 @@ class Bpe:
         return self.cache.ids(texts)
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+        try:
+            if ids and min(ids) < 0:
+                raise IndexError
+            return b"".join(map(self.tokens.__getitem__, ids))
+        except (IndexError, TypeError):
+            raise KeyError("an id that isn't in the vocabulary") from None
 
 
 @functools.lru_cache(maxsize=2)
-def vocabulary(path: str) -> Bpe:
-    """Once for each worker process."""
-    return Bpe(path)
+def vocabulary(path: str | None) -> Bpe:
+    """Once for each worker process; without a path, the worker's own copy of the public vocabulary."""
+    return Bpe(path or public_tokenizers.path(VOCABULARY))
 
 
 def encode(docs: DataFrame, path: str | None = None, *, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
@@ -227,7 +234,6 @@ def encode(docs: DataFrame, path: str | None = None, *, id_col: str = "doc_id",
 
     With decoded, the ids are decoded again to bytes in the same pass.
     """
-    path = path or public_tokenizers.path(VOCABULARY)
     prepare(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     id_type = source.schema["id"].dataType.simpleString()
@@ -242,6 +248,7 @@ def encode(docs: DataFrame, path: str | None = None, *, id_col: str = "doc_id",
             if decoded:
                 columns.append(pa.array([bpe.decode(i.tolist()) for i in ids], pa.binary()))
             yield pa.RecordBatch.from_arrays(columns, ["id", "ids", "decoded"][: len(columns)])
+        tidy()
 
     schema = f"id {id_type}, ids array<int>" + ", decoded binary" * decoded
     return source.mapInArrow(run, schema).withColumnRenamed("id", id_col)
@@ -249,7 +256,6 @@ def encode(docs: DataFrame, path: str | None = None, *, id_col: str = "doc_id",
 
 def decode(tokens: DataFrame, path: str | None = None, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(id, decoded binary) of arrays of ids; a null array decodes to no bytes."""
-    path = path or public_tokenizers.path(VOCABULARY)
     prepare(tokens.sparkSession)
     source = tokens.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
     id_type = source.schema["id"].dataType.simpleString()

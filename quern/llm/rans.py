@@ -6,7 +6,8 @@ words, so that one step codes LANES ids. The index holds a checkpoint for each b
 id, its place and size, its number of words) and a checksum, so that any block can be decoded
 alone and in parallel; and the documents' ids and lengths. write_shards() makes shards in
 ascending order of document ids: a range partitioning, a sort within it, and no step that needs
-all of a corpus. Spark writes the images as a binary column, so any store that Spark reaches will do.
+all of a corpus. Spark has no writer for binary files and workers may not reach a store that Spark does, so an image is
+a value of a binary column that Spark writes and reads; any store that Spark reaches will do, and `image` written as a file is the file.
 
 Layout, all little-endian: magic, header (counts), symbols, frequencies, document ids, their null
 flags and lengths, checkpoints, header's checksum, blocks (final states, then words).
@@ -35,7 +36,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.llm.words import UnitCache
-from quern.runtime import prepare, stored, table
+from quern.runtime import prepare, stored, table, tidy
 
 TOKENIZER = "byte_bpe_50k.json"
 END = 0
@@ -195,14 +196,21 @@ class Shard:
 # columns
 
 
+#: Units that a worker remembers; the library learns a unit at a higher price than op1's trees.
+CACHE_UNITS = 800_000
+
+
 @functools.lru_cache(maxsize=2)
-def tokenizer(path: str) -> UnitCache:
-    """Once for each worker process. Strings of special tokens in a text are ordinary text."""
+def tokenizer(path: str | None) -> UnitCache:
+    """Once for each worker process; without a path, the worker's own copy of the public tokenizer.
+
+    A text that spells an added token, such as the end of a text, goes to the library whole, which gives that token's id.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
+    found = Tokenizer.from_file(path or public_tokenizers.path(TOKENIZER))
+    apart = tuple(t.content for t in found.get_added_tokens_decoder().values())
     code, kind = ("H", np.dtype("u2")) if found.get_vocab_size() <= 1 << 16 else ("I", np.dtype("u4"))
 
     def learn(new: list[str]) -> list[bytes]:
@@ -211,12 +219,11 @@ def tokenizer(path: str) -> UnitCache:
             out += [array(code, e.ids).tobytes() for e in found.encode_batch_fast(new[lo : lo + 20_000], add_special_tokens=False)]
         return out
 
-    return UnitCache(learn, kind)
+    return UnitCache(learn, kind, CACHE_UNITS, apart)
 
 
 def write_shards(docs: DataFrame, path: str | None = None, *, id_col: str = "doc_id", text_col: str = "text", end: int = END) -> DataFrame:
     """(part, shard, before, n_ids, image): token files in ascending order of part, then shard. A part is a range of document ids; before counts its ids in earlier shards."""
-    path = path or public_tokenizers.path(TOKENIZER)
     prepare(docs.sparkSession)
     ordered = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).repartitionByRange("id").sortWithinPartitions("id", "text")
 
@@ -241,6 +248,7 @@ def write_shards(docs: DataFrame, path: str | None = None, *, id_col: str = "doc
                     held, size, shard, before = [], 0, shard + 1, before + size
         if held:
             yield image()
+        tidy()
 
     return ordered.mapInArrow(run, "part int, shard int, before long, n_ids long, image binary")
 
@@ -264,6 +272,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
                 begins = ends - s.lengths
                 texts = pa.array([ids[a:z].tobytes() for a, z in zip(begins.tolist(), ends.tolist(), strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids, pa.int64()), pa.array(start + begins, pa.int64()), texts], ["doc_id", "start", "ids"])
+        tidy()
 
     return placed.mapInArrow(run, "doc_id long, start long, ids binary")
 

@@ -9,7 +9,7 @@ A text with any other white space is cut by the pattern itself.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import chain, repeat
 
 import numpy as np
@@ -19,8 +19,8 @@ import regex
 PATTERN = regex.compile(public_tokenizers.PATTERN)
 #: White space other than spaces and line feeds, and NUL, which marks the cuts below.
 _OTHER = re.compile("[\0\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
-#: Units that one worker remembers; a bound on its memory, without effect on results.
-CACHE_UNITS = 1_000_000
+#: Units that one worker remembers: a bound on its memory (about 150 bytes each), without effect on results.
+CACHE_UNITS = 300_000
 
 
 def units(text: str | None) -> list[str]:
@@ -33,26 +33,52 @@ def units(text: str | None) -> list[str]:
     return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
 
 
+def batches(sizes: list[int], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about `most` characters, or one text: bounds what is held for a batch."""
+    lo = 0
+    while lo < len(sizes):
+        hi, total = lo, 0
+        while hi < len(sizes) and (hi == lo or total + sizes[hi] < most):
+            total += sizes[hi]
+            hi += 1
+        yield lo, hi
+        lo = hi
+
+
 class UnitCache:
     """Token ids of texts, by way of the ids of their units.
 
     learn(units) gives the ids of each of some new units as bytes of `kind`. A dictionary has a number
     for each known unit, and arrays by that number where its ids begin and how many they are, so that
-    the ids of many texts are gathered at once.
+    the ids of many texts are gathered at once. From `most` units on, those that were met again stay,
+    at most half as many, and the others go. Texts with one of `apart` (special tokens) are learned whole, each time.
     """
 
-    def __init__(self, learn: Callable[[list[str]], list[bytes]], kind: np.dtype | str = "<u4", most: int = CACHE_UNITS):
-        self.learn, self.kind, self.most = learn, np.dtype(kind), most
+    def __init__(self, learn: Callable[[list[str]], list[bytes]], kind: np.dtype | str = "<u4", most: int = CACHE_UNITS, apart: tuple[str, ...] = ()):
+        self.learn, self.kind, self.most, self.apart = learn, np.dtype(kind), most, apart
         self._clear()
 
     def _clear(self) -> None:
         self.number: dict[str, int] = {}
-        self.begin, self.size, self.flat = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, self.kind)
+        self.begin, self.size, self.flat = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32), np.zeros(1 << 14, self.kind)
+        self.met = np.zeros(1 << 12, np.int32)
         self.used = 0
 
+    def _shrink(self) -> None:
+        """Keeps the units that were met most often, at most half of what the bound allows."""
+        n = len(self.number)
+        order = np.argsort(-self.met[:n], kind="stable")[: self.most // 2]
+        kept = np.sort(order[self.met[order] > 1])
+        names = list(self.number)  # in the order of their numbers
+        ids, met, size = self._gather(kept)[0], self.met[kept] // 2, self.size[kept]
+        names = [names[k] for k in kept.tolist()]
+        self._clear()
+        self._store(names, ids, size)
+        self.met[: len(names)] = met
+
     def _store(self, new: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         have, need = len(self.number), len(self.number) + len(new)
-        for name, least in (("begin", need), ("size", need), ("flat", self.used + len(ids))):
+        for name, least in (("begin", need), ("size", need), ("met", need), ("flat", self.used + len(ids))):
             old = getattr(self, name)
             if len(old) < least:
                 setattr(self, name, np.concatenate([old, np.zeros(max(least, 2 * len(old)) - len(old), old.dtype)]))
@@ -82,16 +108,28 @@ class UnitCache:
         return self.flat[np.repeat(self.begin[at] - (end - size), size) + np.arange(end[-1] if len(end) else 0)], end
 
     def ids(self, texts: list[str | None]) -> list[np.ndarray]:
+        odd = [k for k, t in enumerate(texts) if t and any(a in t for a in self.apart)] if self.apart else []
+        if odd:
+            whole = dict(zip(odd, self.learn([texts[k] for k in odd]), strict=True))
+            out = self.ids([None if k in whole else t for k, t in enumerate(texts)])
+            return [np.frombuffer(whole[k], dtype=self.kind) if k in whole else found for k, found in enumerate(out)]
+        out: list[np.ndarray] = []
+        for lo, hi in batches([len(t or "") for t in texts]):
+            out += self._ids(texts[lo:hi])
+        return out
+
+    def _ids(self, texts: list[str | None]) -> list[np.ndarray]:
         parts = [units(t) for t in texts]
         every = list(chain.from_iterable(parts))
         if len(self.number) > self.most:
-            self._clear()
+            self._shrink()
         at = np.fromiter(map(self.number.get, every, repeat(-1)), np.int64, len(every))
         missing = np.flatnonzero(at < 0).tolist()
         if missing:
             unknown = [every[k] for k in missing]
             self._add(list(dict.fromkeys(unknown)))
             at[missing] = np.fromiter(map(self.number.__getitem__, unknown), np.int64, len(unknown))
+        self.met[: len(self.number)] += np.bincount(at, minlength=len(self.number)).astype(np.int32)
         flat, end = self._gather(at)
         unit_ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
         return np.split(flat, np.r_[0, end][unit_ends][:-1]) if texts else []

@@ -48,6 +48,22 @@ def test_small_cache_changes_nothing(library):
         assert small.encode([t, t])[1].tolist() == library.encode_ordinary(t)
 
 
+def test_cache_keeps_what_is_met_again(library):
+    small = B.Bpe(public_tokenizers.path(B.VOCABULARY))
+    small.cache.most = 40
+    r = random.Random(5)
+    for _ in range(60):
+        t = " ".join(["the", "cat", "sat.", *(f"w{r.randint(0, 10**6)}" for _ in range(15))])
+        assert small.encode([t])[0].tolist() == library.encode_ordinary(t)
+    assert " cat" in small.cache.number and len(small.cache.number) < 100
+
+
+def test_ids_outside_the_vocabulary(bpe):
+    for ids in ([bpe.size], [-1]):
+        with pytest.raises(KeyError):
+            bpe.decode(ids)
+
+
 def test_query(spark, tmp_path, library):
     documents(spark, ODD).write.parquet(f"{tmp_path}/documents.parquet")
     rows = {r.doc_id: r for r in B.op1_byte_bpe(spark, str(tmp_path)).collect()}

@@ -42,7 +42,6 @@ def test_query(spark, tmp_path, monkeypatch):
     documents(spark, texts).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     rows = {r.doc_id: r for r in R.op7_tokens_rans(spark, str(tmp_path)).collect()}
     t = Tokenizer.from_file(public_tokenizers.path(R.TOKENIZER))
-    t.encode_special_tokens = True
     start = 0
     assert len(rows) == len(texts)
     for k, text in enumerate(texts):
@@ -52,6 +51,13 @@ def test_query(spark, tmp_path, monkeypatch):
         start += len(ids)
 
 
+def test_special_tokens_as_the_library_takes_them():
+    t = Tokenizer.from_file(public_tokenizers.path(R.TOKENIZER))
+    texts = ["<|endoftext|>", "a <|endoftext|> word.", "end.<|endoftext|>", "<|endoftext|><|endoftext|> x", "<|endoftext", "plain words.", None, "plain words."]
+    found = R.tokenizer(public_tokenizers.path(R.TOKENIZER)).ids(texts)
+    assert [x.tolist() for x in found] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+
+
 def test_empty_table_repeated_and_null_ids(spark):
     docs = documents(spark, ["a b", "c", None])
     assert R.read_shards(R.write_shards(docs.where("false"))).count() == 0
