@@ -29,13 +29,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.components import components
-from quern.runtime import partitions, prepare, stored, table
+from quern.runtime import input_bytes, partitions, prepare, stored, table, tidy
 
 SIMILAR = 0.9
 LIST, HOLDS, TILE = 32, 512, 1024
 #: A vector has at least so many directions: its best ones, if fewer exceed the threshold.
 LEAST = 16
 SEED = 11
+#: Bytes of vectors for each group of filters.
+HOME_BYTES = 4 << 20
 
 
 @functools.lru_cache(maxsize=4)
@@ -138,7 +140,9 @@ def class_links(classes: DataFrame, least: float = SIMILAR, kind: str = "<f4") -
     seats = listed.join(counts, "direction").withColumn("k", tiles).withColumn("own", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
     seats = seats.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     seats = seats.select("id", "direction", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own")
-    home = F.pmod(F.xxhash64("direction", "x", "y"), F.lit(8 * partitions(spark)))
+    # groups grow with the vectors: a vector goes to about LIST of them with its bytes, place and filter
+    homes = max(8 * partitions(spark), 2 * LIST * input_bytes(classes) // HOME_BYTES)
+    home = F.pmod(F.xxhash64("direction", "x", "y"), F.lit(homes))
     placed = seats.join(classes.select("id", "raw"), "id").withColumn("home", home)
 
     def compare(t: pa.Table) -> pa.Table:
@@ -160,6 +164,8 @@ def class_links(classes: DataFrame, least: float = SIMILAR, kind: str = "<f4") -
             p, q = ids[at][i[good]], ids[at][j[good]]
             out.append(np.stack([np.minimum(p, q), np.maximum(p, q)]))
         pairs = np.unique(np.concatenate(out, axis=1), axis=1)
+        del t, raw, out
+        tidy()
         return pa.table({"a": pa.array(pairs[0]), "b": pa.array(pairs[1])})
 
     return placed.groupBy("home").applyInArrow(compare, "a long, b long").where("a <> b").distinct()

@@ -13,8 +13,8 @@ Running sums go by pieces of the hash range, so that no task gets a whole source
 Defined results: null texts and texts without words have size 0 and are taken as 0 words; a null
 source is a source of its own, last in order; sources without words have target 0; documents that
 share an id share their place in the order, and are told apart by their text's hash, then size;
-rows that agree in all of these are interchangeable. Other columns pass through mix() untouched;
-an empty table gives an empty table.
+rows that agree in all of these are interchangeable. Other columns pass through untouched whatever
+their names, but mix() replaces those that it adds; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -23,13 +23,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.runtime import table
+from quern.runtime import input_bytes, stored, table
 
 WEIGHTS = (5, 2, 1)
 EPOCHS = 3
 SEED = "mix-1"
-#: Pieces of the hash range of one source: this many hexadecimal digits.
-DIGITS = 3
+#: Pieces of the hash range of one source: at least this many hexadecimal digits, and more where a piece of all input would have more bytes than this.
+DIGITS, PIECE_BYTES = 3, 32 << 20
+#: Sources whose limits (about 100 bytes each) are broadcast; beyond, the same join shuffles.
+BROADCAST_SOURCES = 100_000
 
 
 def words(text: Column) -> Column:
@@ -77,48 +79,55 @@ def mix(
     text_col: str = "text",
     source_col: str = "source",
 ) -> DataFrame:
-    """docs with mix_size, mix_source_size, mix_target and mix_taken (words that the mix takes, repeats counted)."""
+    """docs with mix_size, mix_source_size, mix_target and mix_taken (words that the mix takes, repeats counted); columns so named are replaced."""
     taken = plan(docs, weights, epochs, share, seed, id_col=id_col, text_col=text_col, source_col=source_col)
-    return taken.select(
-        *[F.col(f"_row.`{c}`").alias(c) for c in docs.columns],
-        F.col("size").alias("mix_size"),
-        F.col("source_size").alias("mix_source_size"),
-        F.col("target").alias("mix_target"),
-        F.col("taken").alias("mix_taken"),
-    )
+    own = {"mix_size": "size", "mix_source_size": "source_size", "mix_target": "target", "mix_taken": "taken"}
+    rest = [c for c in docs.columns if c.lower() not in own]
+    return taken.select(*[F.col(f"_row.`{c}`").alias(c) for c in rest], *[F.col(c).alias(name) for name, c in own.items()])
+
+
+def digits_for(docs: DataFrame) -> int:
+    """Hexadecimal digits of a piece: more for larger inputs, so that a piece of one source stays small. Results don't depend on it."""
+    return next((n for n in range(DIGITS, 7) if PIECE_BYTES << (4 * n) >= input_bytes(docs)), 7)
 
 
 def plan(docs: DataFrame, weights=WEIGHTS, epochs=EPOCHS, share=1.0, seed=SEED, *, id_col="doc_id", text_col="text", source_col="source", keep_row: bool = True) -> DataFrame:
-    """(id, source, size, source_size, target, taken[, _row])."""
-    draw = F.md5(F.concat(F.lit(seed + "/"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    sized = docs.select(
-        F.col(id_col).alias("id"),
-        F.col(source_col).cast("string").alias("source"),
-        words(F.col(text_col)).alias("size"),
+    """(id, source, size, source_size, target, taken[, _row]).
+
+    Running sums over pieces tell for each source the one piece in which its target is met: rows of pieces before it are taken,
+    those of later ones aren't, and only the rows of that piece are ranked. Texts of other rows never move.
+    """
+    text = F.col(f"`{text_col}`")
+    draw = F.md5(F.concat(F.lit(seed + "/"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))))
+    rows = docs.select(
+        F.col(f"`{id_col}`").alias("id"),
+        F.col(f"`{source_col}`").cast("string").alias("source"),
+        text.alias("_text"),
         draw.alias("draw"),
-        F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"),
-        *([F.struct(*docs.columns).alias("_row")] if keep_row else []),
-    ).withColumn("piece", F.substring("draw", 1, DIGITS))
-    # one row for each piece of a source; their running sums are small
-    pieces = sized.select("source", "piece", "size").groupBy("source", "piece").agg(F.sum("size").alias("piece_size"))
+        *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if keep_row else []),
+    ).withColumn("piece", F.substring("draw", 1, digits_for(docs)))
+    pieces = rows.select("source", "piece", words(F.col("_text")).alias("size")).groupBy("source", "piece").agg(F.sum("size").alias("piece_size"))
+    pieces = stored(pieces, "mix-pieces")
     sources = targets(pieces.groupBy("source").agg(F.sum("piece_size").alias("source_size")), weights, epochs, share)
-    before = pieces.withColumn(
-        "piece_start", F.sum("piece_size").over(W.partitionBy("source").orderBy("piece").rowsBetween(W.unboundedPreceding, 0)) - F.col("piece_size")
-    )
-    ends = before.alias("p").join(sources.alias("s"), F.col("p.source").eqNullSafe(F.col("s.source"))).select(
-        F.col("p.source").alias("source"), "piece", "piece_start", "source_size", "target"
-    )
-    d, e = sized.alias("d"), ends.alias("e")
-    # pieces are even shares of a source, so a hot source is dealt to many tasks
-    both = d.join(e, F.col("d.source").eqNullSafe(F.col("e.source")) & (F.col("d.piece") == F.col("e.piece")))
-    inner = W.partitionBy("d.source", "d.piece").orderBy("draw", "mark", "size").rowsBetween(W.unboundedPreceding, 0)
-    start = F.col("piece_start") + F.sum("size").over(inner) - F.col("size")
     times = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    rest = F.round(F.col("target")).cast("long") - times * F.col("source_size")
-    more = F.greatest(F.lit(0), F.least(F.col("size"), rest - start))
-    return both.select(
-        "id", F.col("d.source").alias("source"), "size", "source_size", "target", (times * F.col("size") + more).cast("long").alias("taken"), *(["_row"] if keep_row else [])
-    )
+    sources = sources.withColumn("times", times).withColumn("rest", F.round("target").cast("long") - F.col("times") * F.col("source_size"))
+    ends = pieces.withColumn("piece_end", F.sum("piece_size").over(W.partitionBy("source").orderBy("piece").rowsBetween(W.unboundedPreceding, 0)))
+    met = ends.withColumnRenamed("source", "s").join(sources.select("source", "rest"), F.col("s").eqNullSafe(F.col("source"))).where("piece_end > rest")
+    edges = met.groupBy("source").agg(F.min(F.struct("piece", (F.col("piece_end") - F.col("piece_size")).alias("start"))).alias("e"))
+    limits = sources.alias("a").join(edges.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")), "left").select(
+        F.col("a.source").alias("limit_source"), "source_size", "target", "times", "rest", F.coalesce(F.col("e.piece"), F.lit("g")).alias("edge"), F.coalesce(F.col("e.start"), F.lit(0)).alias("edge_start")
+    )  # no hexadecimal digit comes after "g"
+    limits = stored(limits, "mix-limits")
+    near = F.broadcast(limits) if limits.count() <= BROADCAST_SOURCES else limits
+    both = rows.join(near, F.col("source").eqNullSafe(F.col("limit_source")))
+    own = ["_row"] if keep_row else []
+    apart = both.where("piece <> edge").withColumn("size", words(F.col("_text"))).withColumn("more", F.when(F.col("piece") < F.col("edge"), F.col("size")).otherwise(F.lit(0)))
+    inner = W.partitionBy("source").orderBy("draw", "mark", "size").rowsBetween(W.unboundedPreceding, 0)
+    edge = both.where("piece = edge").withColumn("size", words(F.col("_text"))).withColumn("mark", F.md5(F.coalesce(F.col("_text"), F.lit(""))))
+    start = F.col("edge_start") + F.sum("size").over(inner) - F.col("size")
+    edge = edge.withColumn("more", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - start)))
+    columns = ["id", "source", "size", "source_size", "target", (F.col("times") * F.col("size") + F.col("more")).cast("long").alias("taken"), *own]
+    return apart.select(*columns).unionByName(edge.select(*columns))
 
 
 def repeated(docs: DataFrame, **options) -> DataFrame:
@@ -127,20 +136,20 @@ def repeated(docs: DataFrame, **options) -> DataFrame:
     The words of a part keep what stands between them.
     """
     text_col = options.get("text_col", "text")
-    mixed = mix(docs, **options)
-    whole = F.when(F.col("mix_size") > 0, F.floor(F.col("mix_taken") / F.col("mix_size"))).otherwise(F.lit(0)).cast("int")
-    part = (F.col("mix_taken") - whole * F.col("mix_size")).cast("int")
+    mixed = plan(docs, **options)
+    whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("int")
+    part = (F.col("taken") - whole * F.col("size")).cast("int")
     copies = F.concat(
         F.array_repeat(F.struct(F.lit(0).alias("part")), whole),
         F.when(part > 0, F.array(F.struct(part.alias("part")))).otherwise(F.array().cast("array<struct<part:int>>")),
     )
-    out = mixed.withColumn("_copy", F.explode(copies))
-    text, blank = F.col(text_col), "[\\x20\\x09-\\x0D]+"
+    out = mixed.select("_row", F.explode(copies).alias("copy"))
+    text, blank = F.col(f"_row.`{text_col}`"), "[\\x20\\x09-\\x0D]+"
     lead = F.when(text.rlike("^" + blank), 1).otherwise(0)
-    pieces = F.split(text, blank, F.col("_copy.part") + lead + 1)  # the last piece is all that follows
-    rest = F.when(F.size(pieces) > F.col("_copy.part") + lead, F.length(F.element_at(pieces, -1))).otherwise(0)
+    pieces = F.split(text, blank, F.col("copy.part") + lead + 1)  # the last piece is all that follows
+    rest = F.when(F.size(pieces) > F.col("copy.part") + lead, F.length(F.element_at(pieces, -1))).otherwise(0)
     head = F.rtrim(F.substring(text, F.lit(1), F.length(text) - rest), F.lit(" \t\n\x0b\x0c\r"))
-    return out.select(*[(F.when(F.col("_copy.part") > 0, head).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c)) for c in docs.columns])
+    return out.select(*[(F.when(F.col("copy.part") > 0, head).otherwise(text).alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c)) for c in docs.columns])
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

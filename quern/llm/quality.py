@@ -28,7 +28,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from quern.runtime import prepare, table
+from quern.llm.shingles import mix
+from quern.runtime import fresh, prepare, table, tidy
 
 #: Most labelled rows that a fit uses.
 SAMPLE = 20_000
@@ -92,15 +93,14 @@ def _describe(texts: list[bytes]) -> np.ndarray:
     some = np.maximum(words, 1)
     mean = np.bincount(doc_of, length, n) / some
     spread = np.sqrt(np.maximum(np.bincount(doc_of, length**2, n) / some - mean**2, 0))
-    # distinct words by a polynomial hash of each word's bytes, as a share of the square root law's expectation
-    power = np.cumprod(np.r_[np.uint64(1), np.full(63, 0x100000001B3, np.uint64)])
-    key = np.zeros(len(at), dtype=np.uint64)
+    # distinct words by a hash of each whole word, as a share of the square root law's expectation: codes of bytes at their places, summed by word
+    letter = np.flatnonzero(~space)
+    edge = np.searchsorted(letter, at)
+    spot = (letter - np.repeat(at, np.diff(np.r_[edge, len(letter)]))).astype(np.uint64)
     with np.errstate(over="ignore"):
-        longest = int(min(length.max(initial=0), 64))
-        for k in range(longest):  # the first 64 bytes tell words apart well enough for a statistic
-            live = np.flatnonzero(length > k)
-            key[live] += (x[at[live] + k].astype(np.uint64) + np.uint64(1)) * power[k]
-        key = (key ^ (key >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        code = mix((spot << np.uint64(8) | x[letter].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+        total = np.r_[np.uint64(0), np.cumsum(code, dtype=np.uint64)]
+        key = mix(total[np.r_[edge[1:], len(letter)].astype(np.int64)] - total[edge]) if len(at) else np.zeros(0, np.uint64)
     mixed = np.sort((key >> np.uint64(24)) | (doc_of.astype(np.uint64) << np.uint64(40)))
     first = np.r_[True, mixed[1:] != mixed[:-1]]
     distinct = np.bincount((mixed[first] >> np.uint64(40)).astype(np.int64), minlength=n)
@@ -199,14 +199,16 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", score_col: s
             found = pa.array(model.score(describe([t or b"" for t in b.column(at).to_pylist()])))
             columns = [found if k == at else b.column(k) for k in range(b.num_columns)]
             yield pa.RecordBatch.from_arrays(columns, b.schema.names)
+        tidy()
 
     return source.mapInArrow(run, schema)
 
 
 def keep(docs: DataFrame, labels: DataFrame, least: float = KEEP_FROM) -> DataFrame:
     """The rows of docs whose score is at least `least`; docs' columns."""
-    scored = score(docs, train(docs, labels), score_col="_quality")
-    return scored.where(F.col("_quality") >= least).select(*docs.columns)
+    name = fresh("quality", docs)
+    scored = score(docs, train(docs, labels), score_col=name)
+    return scored.where(F.col(name) >= least).select(*docs.columns)
 
 
 def op10_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,14 +13,16 @@ Suffixes are sorted in blocks, none of which needs the corpus in memory:
 2. Blocks that are equal are one from here on: those in documents other than the least one are
    covered whole, and the least one's stands for them.
 3. If an anchor has several different blocks, their texts are fetched, and the suffixes that start
-   windows in them are sorted, one suffix bucket (a range of first bytes) at a time. Ties are
+   windows in them are sorted by their bytes, a suffix bucket at a time: whole anchors of about BATCH bytes, and of an
+   anchor with more than that, ranges of the suffixes' first bytes (then of the next ones). Ties within a bucket are
    resolved by names of a difference cover: positions p with p mod 8 in {0, 1, 2, 4} have names that order
    them by their first 8, 16, 32, 40 and 48 bytes, made once by doubling. For any two positions some
    shift below 8 takes both into the cover, so the first 8 bytes, the name at that shift and the last 8
    bytes tell whether LENGTH bytes are equal. The least document of equal suffixes covers the others' windows.
+   What a task holds beyond its blocks and a byte for each suffix is bounded by BATCH.
 4. What is covered comes together by document and is cut out.
 
-Equality of blocks goes by 48-bit hashes within a 32-bit anchor hash within a bucket.
+Equality of whole blocks (step 2) goes by 64-bit hashes within a 32-bit anchor hash within a bucket; bytes decide the rest.
 
 Defined results: a null text is no bytes, and stays null as text in cut(); texts shorter than LENGTH lose nothing; strings that repeat
 within one document only stay; rows that share an id, or have none, are ordered by id (null first), then text, and
@@ -40,14 +42,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.llm.shingles import mix, pieces
-from quern.runtime import buckets, partitions, prepare, stored, table
+from quern.runtime import buckets, fresh, partitions, prepare, stored, table, tidy
 
 LENGTH = 50
 GRAM = 20
 #: Difference cover of the residues by 8: every two residues have a common shift into it.
 PERIOD, COVER = 8, (0, 1, 2, 4)
-#: Suffixes sorted at a time.
-BLOCK = 1 << 18
+#: Bytes of the blocks whose suffixes are sorted at a time.
+BATCH = 1 << 19
 #: Bytes of a document that are looked at at a time; windows of one slab and the next don't share an anchor's block.
 SLAB = 1 << 22
 #: Bytes of several documents that are looked at at a time.
@@ -161,12 +163,12 @@ def _cuts(key: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(at, [*at[1:], len(key)], strict=True))
 
 
-def _homes(kind: int, ids: np.ndarray, lo: np.ndarray, more: np.ndarray, bucket: int, homes: int) -> list[tuple]:
+def _homes(kind: int, ids: np.ndarray, lo: np.ndarray, more: np.ndarray, bucket: int, homes: int, width: str = "<u4") -> list[tuple]:
     """Rows (home, kind, bucket, ids, lo, more) for each home of documents."""
     home = (mix(ids.astype(np.uint64)) % np.uint64(homes)).astype(np.int64)
     order = np.lexsort((lo, ids, home))
     home, ids, lo, more = home[order], ids[order], lo[order], more[order]
-    return [(int(home[a]), kind, bucket, pack(ids[a:z]), pack(lo[a:z]), more[a:z].astype("<u4").tobytes()) for a, z in _cuts(home)]
+    return [(int(home[a]), kind, bucket, pack(ids[a:z]), pack(lo[a:z]), more[a:z].astype(width).tobytes()) for a, z in _cuts(home)]
 
 
 _HOME_SCHEMA = "home long, kind int, bucket long, ids binary, lo binary, more binary"
@@ -192,32 +194,76 @@ def _key8(x: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _names(*columns: np.ndarray) -> np.ndarray:
-    """Ranks of rows of columns, equal for equal rows."""
-    if len(columns) == 1:
-        return np.unique(columns[0], return_inverse=True)[1]
-    order = np.lexsort(columns[::-1])
-    change = np.zeros(len(order), dtype=np.bool_)
-    for c in columns:
-        s = c[order]
-        change[1:] |= s[1:] != s[:-1]
-    out = np.empty(len(order), dtype=np.int64)
-    out[order] = np.cumsum(change)
+    """Ranks of rows of columns, equal for equal rows; pairs of names are one number before they are sorted."""
+    out = np.unique(columns[0], return_inverse=True)[1]
+    for c in columns[1:]:
+        if c.dtype == np.uint64:
+            c = np.unique(c, return_inverse=True)[1]
+        out = np.unique(out.astype(np.int64) << 32 | c, return_inverse=True)[1]
     return out
 
 
+def _batches(gram: np.ndarray, size: np.ndarray) -> Iterator[slice]:
+    """Ranges of sorted grams with about BATCH bytes, each gram whole."""
+    cuts, total = _cuts(gram), np.r_[0, np.cumsum(size)]
+    lo = 0
+    while lo < len(cuts):
+        hi = lo + 1
+        while hi < len(cuts) and total[cuts[hi][1]] - total[cuts[lo][0]] <= BATCH:
+            hi += 1
+        yield slice(cuts[lo][0], cuts[hi - 1][1])
+        lo = hi
+
+
 def least_documents(blocks: list[bytes], ids: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
     """For each block and each window of `length` bytes in it, the least id of the blocks with an equal window."""
     lengths = np.array([len(b) for b in blocks], dtype=np.int64)
-    stride = -(-lengths // PERIOD) * PERIOD  # no block's cover depends on the one before it
-    begin = np.cumsum(stride + PERIOD) - (stride + PERIOD)
-    n = int((stride + PERIOD).sum())
+    windows = np.maximum(lengths - length + 1, 0)
+    first_window = np.cumsum(windows) - windows
+    owner = np.repeat(ids, windows)
+    inside = np.arange(windows.sum()) - np.repeat(first_window, windows)
+    x = np.frombuffer(b"".join(blocks), dtype=np.uint8)
+    if len(x) <= 2 * BATCH:
+        least = _by_cover(x, lengths, np.repeat(np.cumsum(lengths) - lengths, windows) + inside, owner, length)
+    else:
+        least = np.empty(len(owner), dtype=np.int64)
+        begin = np.repeat(np.cumsum(lengths) - lengths, windows) + inside
+        todo = [(np.arange(len(owner)), 0)]
+        while todo:  # a suffix bucket at a time
+            rows, depth = todo.pop()
+            if depth >= length:  # all equal
+                least[rows] = owner[rows].min()
+            elif len(rows) * length <= BATCH:
+                cut = x[(begin[rows][:, None] + np.arange(length)).reshape(-1)]
+                least[rows] = _by_cover(cut, np.full(len(rows), length), np.arange(len(rows)) * length, owner[rows], length)
+            else:
+                key = _key8(x, begin[rows] + min(depth, length - 8))
+                order = np.argsort(key, kind="stable")
+                rows, key = rows[order], key[order]
+                lo = 0
+                while lo < len(rows):  # ranges of keys; one key with too many suffixes goes on to the next bytes
+                    hi = int(np.searchsorted(key, key[min(lo + BATCH // length, len(rows)) - 1], side="left"))
+                    if hi <= lo:
+                        hi = int(np.searchsorted(key, key[lo], side="right"))
+                        todo.append((rows[lo:hi], depth + 8))
+                    else:
+                        todo.append((rows[lo:hi], depth))
+                    lo = hi
+    return np.split(least, np.cumsum(windows)[:-1])
+
+
+def _by_cover(raw: np.ndarray, lengths: np.ndarray, at_raw: np.ndarray, owner: np.ndarray, length: int) -> np.ndarray:
+    """For windows that start at at_raw in blocks of these lengths, one after the other: the least owner of an equal window."""
+    stride = -(-lengths // PERIOD) * PERIOD + PERIOD  # no block's cover depends on the one before it
+    begin = np.cumsum(stride) - stride
+    n = int(stride.sum())
     x = np.zeros(n + length + 64, dtype=np.uint8)
-    raw = np.frombuffer(b"".join(blocks), dtype=np.uint8)
-    inside = np.arange(len(raw)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    x[np.repeat(begin, lengths) + inside] = raw
+    shift_of = np.repeat(begin - (np.cumsum(lengths) - lengths), lengths)
+    x[np.arange(len(raw)) + shift_of] = raw
+    start = at_raw + shift_of[at_raw] if len(at_raw) else at_raw
     # names of the cover by doubling: a step by a multiple of the period stays in the cover
     cover = np.flatnonzero(np.isin(np.arange(n + 64) % PERIOD, COVER))
-    index = np.full(n + 64 + PERIOD, -1, dtype=np.int64)
+    index = np.full(n + 64 + PERIOD, -1, dtype=np.int32)
     index[cover] = np.arange(len(cover))
     name = {8: _names(_key8(x, np.minimum(cover, n + 48)))}
 
@@ -228,33 +274,18 @@ def least_documents(blocks: list[bytes], ids: np.ndarray, length: int = LENGTH)
     name[32] = _names(name[16], at(16, 16))
     name[40] = _names(name[32], at(32, 8))
     name[48] = _names(name[40], at(40, 8))
-    windows = np.maximum(lengths - length + 1, 0)
-    start = np.repeat(begin, windows) + np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-    owner = np.repeat(ids, windows)
     least = owner.copy()
-    first = _key8(x, start)
-    # one suffix bucket at a time: ranges of the order of the first 8 bytes that hold about BLOCK suffixes, and never split equal ones
-    order = np.argsort(first, kind="stable")
-    edges = [0]
-    while edges[-1] < len(order):
-        e = min(edges[-1] + BLOCK, len(order))
-        if e < len(order):
-            e = int(np.searchsorted(first[order], first[order[e - 1]], side="right"))
-        edges.append(e)
-    for a, z in zip(edges, edges[1:], strict=False):
-        bucket = order[a:z]
-        for shift in range(PERIOD):
-            own = bucket[np.isin((start[bucket] + shift) % PERIOD, COVER)]
-            if not len(own):
-                continue
-            p = start[own] + shift
+    head, tail = (_names(_key8(x, start + d)) for d in (0, length - 8))
+    for shift in range(PERIOD):
+        own = np.flatnonzero(np.isin((start + shift) % PERIOD, COVER))
+        if len(own):
             # 8 bytes from the start, 40 or 48 by name from the shift on, and the last 8: together all of the window
             by = 48 if shift + 40 < length - 8 else 40
-            group = _names(first[own], name[by][index[p]], _key8(x, start[own] + length - 8))
+            group = _names(head[own], name[by][index[start[own] + shift]], tail[own])
             smallest = np.full(int(group.max()) + 1, np.iinfo(np.int64).max)
             np.minimum.at(smallest, group, owner[own])
             least[own] = np.minimum(least[own], smallest[group])
-    return np.split(least, np.cumsum(windows)[:-1])
+    return least
 
 
 # Spark
@@ -278,7 +309,7 @@ def _covered(docs: DataFrame, length: int) -> DataFrame:
     if length != LENGTH:
         raise ValueError(f"only {LENGTH} bytes are supported")
     spark = docs.sparkSession
-    prepare(spark, 250)
+    prepare(spark)
     count = max(2 * partitions(spark), buckets(docs, 32 << 20))
     homes = buckets(docs, 128 << 20)  # of documents: what is found there is far smaller than what is looked through
 
@@ -296,18 +327,19 @@ def _covered(docs: DataFrame, length: int) -> DataFrame:
                 wide = "<u2" if lo[a:z].max() < 1 << 16 else "<u4"
                 rows.append((
                     int(bucket[a]), pack(ids[own[a:z][h]]), pack(np.diff(np.r_[h, z - a])), gram[a:z].astype("<u4").tobytes(),
-                    (block[a:z] >> np.uint64(32)).astype("<u4").tobytes(), (block[a:z] & np.uint64(0xFFFF)).astype("<u2").tobytes(),
+                    block[a:z].astype("<u8").tobytes(),
                     (b"2" if wide == "<u2" else b"4") + lo[a:z].astype(wide).tobytes(), span[a:z].astype("u1").tobytes(),
                 ))
-            names = ["bucket", "ids", "runs", "gram", "block", "block2", "lo", "span"]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64() if not k else pa.binary()) for k in range(8)], names)
+            names = ["bucket", "ids", "runs", "gram", "block", "lo", "span"]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64() if not k else pa.binary()) for k in range(7)], names)
+        tidy()
 
     def judge(t: pa.Table) -> pa.Table:
         """Blocks of one bucket of anchors: which are covered whole, and which have to be compared."""
         bucket = t.column("bucket")[0].as_py()
         ids = np.repeat(_all(t, "ids"), _all(t, "runs"))
         gram = _flat(t, "gram", "<u4")
-        block = (_flat(t, "block", "<u4").astype(np.uint64) << np.uint64(16)) | _flat(t, "block2", "<u2")
+        block = _flat(t, "block", "<u8")
         lo = np.concatenate([np.frombuffer(x, "<u2" if x[:1] == b"2" else "<u4", offset=1).astype(np.int64) for x in t.column("lo").to_pylist()])
         span = _flat(t, "span", "u1").astype(np.int64)
         order = np.lexsort((ids, block, gram))
@@ -325,49 +357,61 @@ def _covered(docs: DataFrame, length: int) -> DataFrame:
         np.minimum.at(low, group[at], ids[at])
         np.maximum.at(high, group[at], ids[at])
         ask = ~full & ((kinds > 1) & (low < high))[group]
-        return _home_table([*_homes(FULL, ids[full], lo[full], span[full], bucket, homes), *_homes(ASK, ids[ask], lo[ask], span[ask], bucket, homes)])
+        asked_for = gram[ask].astype(np.int64) << 8 | span[ask]
+        out = _home_table([*_homes(FULL, ids[full], lo[full], span[full], bucket, homes), *_homes(ASK, ids[ask], lo[ask], asked_for, bucket, homes, "<u8")])
+        del t, ids, gram, block, lo, span, order
+        tidy()
+        return out
 
-    judged = stored(_source(docs).mapInArrow(send, "bucket long, ids binary, runs binary, gram binary, block binary, block2 binary, lo binary, span binary").groupBy("bucket").applyInArrow(judge, _HOME_SCHEMA), "judged")
+    judged = stored(_source(docs).mapInArrow(send, "bucket long, ids binary, runs binary, gram binary, block binary, lo binary, span binary").groupBy("bucket").applyInArrow(judge, _HOME_SCHEMA), "judged")
 
     def asked(t: pa.Table) -> pa.Table:
         sizes = [len(unpack(x)) for x in t.column("ids").to_pylist()]
-        ids, lo, span = _all(t, "ids"), _all(t, "lo"), _flat(t, "more", "<u4")
+        ids, lo, more = _all(t, "ids"), _all(t, "lo"), _flat(t, "more", "<u8")
         bucket = np.repeat(t.column("bucket").to_numpy(), sizes)
         order = np.lexsort((lo, ids))
-        ids, lo, span, bucket = ids[order], lo[order], span[order], bucket[order]
+        ids, lo, more, bucket = ids[order], lo[order], more[order], bucket[order]
         cuts = _cuts(ids)
         return pa.table({
             "id": pa.array([int(ids[a]) for a, _ in cuts], pa.int64()), "lo": pa.array([pack(lo[a:z]) for a, z in cuts], pa.binary()),
-            "span": pa.array([span[a:z].astype("u1").tobytes() for a, z in cuts], pa.binary()), "bucket": pa.array([bucket[a:z].astype("<u4").tobytes() for a, z in cuts], pa.binary()),
+            "more": pa.array([more[a:z].tobytes() for a, z in cuts], pa.binary()), "bucket": pa.array([bucket[a:z].astype("<u4").tobytes() for a, z in cuts], pa.binary()),
         })
 
-    asks = stored(judged.where(f"kind = {ASK}").groupBy("home").applyInArrow(asked, "id long, lo binary, span binary, bucket binary"), "asks")
+    asks = stored(judged.where(f"kind = {ASK}").groupBy("home").applyInArrow(asked, "id long, lo binary, more binary, bucket binary"), "asks")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: dict[int, list] = {}
-            for i, text, lo, span, bucket in zip(*(b.column(c).to_pylist() for c in ("id", "text", "lo", "span", "bucket")), strict=True):
-                for s, n, k in zip(unpack(lo).tolist(), span, np.frombuffer(bucket, "<u4").tolist(), strict=True):
-                    rows.setdefault(k, []).append((i, s, text[s : s + n + LENGTH]))
-            found = [(k, pack([r[0] for r in v]), pack([r[1] for r in v]), bytes([len(r[2]) for r in v]), b"".join([r[2] for r in v])) for k, v in rows.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], pa.int64() if not k else pa.binary()) for k in range(5)], ["bucket", "ids", "lo", "size", "blocks"])
+            for i, text, lo, more, bucket in zip(*(b.column(c).to_pylist() for c in ("id", "text", "lo", "more", "bucket")), strict=True):
+                wanted = np.frombuffer(more, "<u8")
+                for s, n, g, k in zip(unpack(lo).tolist(), (wanted & np.uint64(255)).tolist(), (wanted >> np.uint64(8)).tolist(), np.frombuffer(bucket, "<u4").tolist(), strict=True):
+                    rows.setdefault(k, []).append((i, s, g, text[s : s + n + LENGTH]))
+            found = [(k, pack([r[0] for r in v]), pack([r[1] for r in v]), np.array([r[2] for r in v], "<u4").tobytes(), bytes([len(r[3]) for r in v]), b"".join([r[3] for r in v])) for k, v in rows.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], pa.int64() if not k else pa.binary()) for k in range(6)], ["bucket", "ids", "lo", "gram", "size", "blocks"])
+        tidy()
 
     def compare(t: pa.Table) -> pa.Table:
         """Suffixes of one bucket's blocks: a bit for each window that starts in a smaller document as well."""
         bucket = t.column("bucket")[0].as_py()
-        ids, lo, size, raw = _all(t, "ids"), _all(t, "lo"), _flat(t, "size", "u1").astype(np.int64), b"".join(t.column("blocks").to_pylist())
-        end = np.cumsum(size).tolist()
-        # equal blocks of one document are sorted once
-        least = least_documents([raw[z - n : z] for z, n in zip(end, size.tolist(), strict=True)], ids)
-        windows = size - LENGTH + 1
-        flags = np.concatenate([np.zeros(0, np.int64), *least]) < np.repeat(ids, windows)
-        bit = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-        mask = np.bincount(np.repeat(np.arange(len(ids)), windows), flags * (1 << bit), len(ids)).astype(np.int64)
+        ids, lo, gram, size, raw = _all(t, "ids"), _all(t, "lo"), _flat(t, "gram", "<u4"), _flat(t, "size", "u1").astype(np.int64), b"".join(t.column("blocks").to_pylist())
+        end = np.cumsum(size)
+        mask = np.zeros(len(ids), dtype=np.int64)
+        order = np.argsort(gram, kind="stable")
+        for part in _batches(gram[order], size[order]):
+            own = order[part]
+            least = least_documents([raw[z - n : z] for z, n in zip(end[own].tolist(), size[own].tolist(), strict=True)], ids[own])
+            windows = size[own] - LENGTH + 1
+            flags = np.concatenate(least) < np.repeat(ids[own], windows)
+            bit = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+            mask[own] = np.bincount(np.repeat(np.arange(len(own)), windows), flags * (1 << bit), len(own)).astype(np.int64)
         hit = mask > 0
-        return _home_table(_homes(MASK, ids[hit], lo[hit], mask[hit], bucket, homes))
+        out = _home_table(_homes(MASK, ids[hit], lo[hit], mask[hit], bucket, homes))
+        del t, raw, mask, ids, lo, gram, size
+        tidy()
+        return out
 
-    texts = _by_document(_source(docs), asks, _bytes_of(asks, ["lo", "span", "bucket"]), "inner")
-    masks = texts.mapInArrow(fetch, "bucket long, ids binary, lo binary, size binary, blocks binary").groupBy("bucket").applyInArrow(compare, _HOME_SCHEMA)
+    texts = _by_document(_source(docs), asks, _bytes_of(asks, ["lo", "more", "bucket"]), "inner")
+    masks = texts.mapInArrow(fetch, "bucket long, ids binary, lo binary, gram binary, size binary, blocks binary").groupBy("bucket").applyInArrow(compare, _HOME_SCHEMA)
 
     def together(t: pa.Table) -> pa.Table:
         sizes = [len(unpack(x)) for x in t.column("ids").to_pylist()]
@@ -445,15 +489,16 @@ def cut(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> D
     """docs with what is covered cut out of its text; docs' columns."""
     plain, whole = _numbered(docs, id_col, text_col)
     own = F.col("id") if whole else F.col("place")
-    cuts = stored(_covered(plain.select(own.alias("id"), "text"), LENGTH), "cuts").select(F.col("id").alias("_id"), F.col("begin").alias("_begin"), F.col("end").alias("_end"))
-    small = _bytes_of(cuts, ["_begin", "_end"]) <= BROADCAST_BYTES
+    key, begin, end, row_id, row_text = (fresh(f"suffix_{c}", docs) for c in ("key", "begin", "end", "id", "text"))
+    cuts = stored(_covered(plain.select(own.alias("id"), "text"), LENGTH), "cuts").select(F.col("id").alias(key), F.col("begin").alias(begin), F.col("end").alias(end))
+    small = _bytes_of(cuts, [begin, end]) <= BROADCAST_BYTES
     found = F.broadcast(cuts) if small else cuts
     if whole:
-        joined = docs.join(found, F.col(id_col) == F.col("_id"), "left").drop("_id")
+        joined = docs.join(found, F.col(id_col) == F.col(key), "left").drop(key)
     else:  # a row is known by its id and text
-        found = plain.withColumnsRenamed({"id": "_own", "text": "_text"}).join(found, F.col("place") == F.col("_id")).drop("place", "part", "_id")
-        same = F.col(id_col).cast("long").eqNullSafe(F.col("_own")) & F.col(text_col).cast("string").eqNullSafe(F.col("_text"))
-        joined = docs.join(found, same, "left").drop("_own", "_text")
+        found = plain.select(F.col("id").alias(row_id), F.col("text").alias(row_text), F.col("place").alias(f"{key}_")).join(found, F.col(f"{key}_") == F.col(key)).drop(f"{key}_", key)
+        same = F.col(id_col).cast("long").eqNullSafe(F.col(row_id)) & F.col(text_col).cast("string").eqNullSafe(F.col(row_text))
+        joined = docs.join(found, same, "left").drop(row_id, row_text)
     at = docs.columns.index(text_col)
     schema = docs.schema
 
@@ -466,6 +511,7 @@ def cut(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> D
                     t = b"".join([raw[p:q] for p, q in zip([0, *unpack(y).tolist()], [*unpack(x).tolist(), len(raw)], strict=True)]).decode("utf-8", "ignore")
                 texts.append(t)
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == at else b.column(k) for k in range(b.num_columns - 2)], schema.names)
+        tidy()
 
     return joined.mapInArrow(run, schema)
 

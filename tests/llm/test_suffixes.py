@@ -8,22 +8,29 @@ from pyspark.sql import functions as F
 from quern.llm import suffixes as S
 
 
-def brute(texts, n=50):
-    """(bytes, removed, runs, kept's digest) of each text, by a dictionary of all strings."""
+def gone_bytes(texts, n=50):
+    """(text's bytes, flags of removed ones) of each text, by a dictionary of all strings."""
     raw = [(t or "").encode() for t in texts]
     first = {}
     for k, t in enumerate(raw):
         for i in range(len(t) - n + 1):
             first.setdefault(t[i : i + n], k)
-    out = []
     for k, t in enumerate(raw):
         gone = np.zeros(len(t) + 1, dtype=bool)
         for i in range(len(t) - n + 1):
             if first[t[i : i + n]] < k:
                 gone[i : i + n] = True
-        kept = bytes(b for b, g in zip(t, gone, strict=False) if not g)
-        out.append((k, len(t), int(gone.sum()), int((gone[1:] & ~gone[:-1]).sum() + gone[0]), hashlib.sha256(kept).hexdigest()))
-    return out
+        yield t, gone
+
+
+def kept_bytes(texts):
+    return [bytes(b for b, g in zip(t, gone, strict=False) if not g) for t, gone in gone_bytes(texts)]
+
+
+def brute(texts):
+    """(place, bytes, removed, runs, kept's digest) of each text."""
+    kept = kept_bytes(texts)
+    return [(k, len(t), int(g.sum()), int((g[1:] & ~g[:-1]).sum() + g[0]), hashlib.sha256(kept[k]).hexdigest()) for k, (t, g) in enumerate(gone_bytes(texts))]
 
 
 def corpus(seed):
@@ -50,7 +57,7 @@ def corpus(seed):
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_query_is_brute_force(spark, tmp_path, seed, monkeypatch):
-    monkeypatch.setattr(S, "BLOCK", 500 if seed == 2 else S.BLOCK)
+    monkeypatch.setattr(S, "BATCH", 500 if seed == 2 else S.BATCH)
     texts = corpus(seed) + ODD
     documents(spark, texts).repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted(tuple(r) for r in S.op9_suffix_dedup(spark, str(tmp_path)).collect()) == brute(texts)
@@ -63,7 +70,9 @@ def test_no_broadcast_is_the_same(spark, tmp_path, monkeypatch):
     assert sorted(tuple(r) for r in S.op9_suffix_dedup(spark, str(tmp_path)).collect()) == brute(texts)
 
 
-def test_difference_cover():
+@pytest.mark.parametrize("batch", [S.BATCH, 900, 60])
+def test_difference_cover(monkeypatch, batch):
+    monkeypatch.setattr(S, "BATCH", batch)
     for a in range(8):
         for b in range(8):
             assert any((a + s) % 8 in S.COVER and (b + s) % 8 in S.COVER for s in range(8))
@@ -112,6 +121,15 @@ def test_cut_keeps_columns(spark):
     assert S.cut(docs.where("false")).count() == 0 and S.spans(docs.where(F.lit(False))).count() == 0
 
 
+def test_cut_with_clashing_names(spark):
+    p = "this passage is longer than fifty bytes, so that it counts as one"
+    names = ["suffix_key", "SUFFIX_begin", "id", "place", "begin", "end", "_id"]
+    docs = spark.createDataFrame([(1, p, *"abcdefg"), (2, "x" + p, *"hijklmn")], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    assert sorted(tuple(r) for r in S.cut(docs).collect()) == [(1, p, *"abcdefg"), (2, "x", *"hijklmn")]
+    twice = docs.unionByName(docs)
+    assert sorted(tuple(r) for r in S.cut(twice).collect()) == sorted([(1, p, *"abcdefg"), (2, "x", *"hijklmn")] * 2)
+
+
 def test_cut_repeated_and_null_ids(spark):
     p = "this passage is longer than fifty bytes, so that it counts as one"
     docs = spark.createDataFrame([(2, "b" + p), (1, p), (2, "a" + p), (1, p), (None, p + "!"), (None, None)], "doc_id long, text string")
