@@ -75,6 +75,33 @@ def merged_chunks(nodes: DataFrame) -> DataFrame:
     )
 
 
+def merged_units(nodes: DataFrame, pages: int = 1) -> DataFrame:
+    """(document_id, unit, n_nodes, text, token_count, page_start, page_end, heading_path, members): as merged_chunks(), by headings and page spans.
+
+    A unit takes the next node while both are small, kinds may be merged, heading paths are equal, all of it spans at most `pages` page breaks,
+    the joined text has at most MOST tokens and the unit has less than TARGET. The fold runs over small rows; its output is one number for each node.
+    """
+    found = nodes.where("content_layer = 'body' AND kind <> 'list' AND trim(text) <> ''")
+    row = F.struct("ordinal", "kind", "page_start", "page_end", "token_count", F.xxhash64(F.to_json(F.struct("heading_path"))).alias("path"))
+    items = found.groupBy("document_id").agg(F.sort_array(F.collect_list(row)).alias("n"))
+    small = f"x.kind IN ('paragraph', 'list_item') AND x.token_count < {SMALL}"
+    joins = f"s.open AND {small} AND s.path = x.path AND s.tokens < {TARGET} AND s.tokens + x.token_count <= {MOST} AND greatest(s.high, x.page_end) - least(s.low, x.page_start) <= {pages}"
+    folded = items.select("document_id", F.expr(f"""
+      aggregate(n, named_struct('out', cast(array() AS array<bigint>), 'tokens', 0L, 'low', cast(NULL AS bigint), 'high', cast(NULL AS bigint), 'path', 0L, 'open', false),
+        (s, x) -> CASE WHEN {joins}
+          THEN named_struct('out', s.out, 'tokens', s.tokens + x.token_count, 'low', least(s.low, x.page_start), 'high', greatest(s.high, x.page_end), 'path', x.path, 'open', true)
+          ELSE named_struct('out', concat(s.out, array(x.ordinal)), 'tokens', x.token_count, 'low', x.page_start, 'high', x.page_end, 'path', x.path, 'open', {small}) END, s -> s.out)""").alias("starts"))
+    starts = folded.select("document_id", F.explode("starts").alias("ordinal"), F.lit(True).alias("begins"))
+    order = W.partitionBy("document_id").orderBy("ordinal").rowsBetween(W.unboundedPreceding, 0)
+    placed = found.join(starts, ["document_id", "ordinal"], "left").withColumn("unit", F.last(F.when(F.col("begins"), F.col("ordinal")), ignorenulls=True).over(order))
+    return placed.groupBy("document_id", "unit").agg(
+        F.count("*").alias("n_nodes"),
+        F.concat_ws("\n", F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "text"))), lambda x: x["text"])).alias("text"),
+        F.sum("token_count").alias("token_count"), F.min("page_start").alias("page_start"), F.max("page_end").alias("page_end"), F.first("heading_path").alias("heading_path"),
+        F.sort_array(F.collect_list("ordinal")).alias("members"),
+    )
+
+
 def search_text(chunks: DataFrame) -> DataFrame:
     """Heading trail above the text; the last heading is left out if it is the text itself."""
     path, text = F.col("heading_path"), F.col("text")

@@ -33,10 +33,10 @@ def sentences(nodes: DataFrame) -> DataFrame:
 def key_facts(found: DataFrame, limit: int = FACTS) -> DataFrame:
     """Sentences that define, count or bind, once for each normal form in a document, the first `limit`."""
     s = F.col("sentence")
-    marked = found.withColumn("defines", s.rlike(DEFINITION)).withColumn("counts", s.rlike(NUMERIC)).withColumn("binds", s.rlike(NORMATIVE)).where("defines OR counts OR binds")
+    marked = found.withColumn("defines", s.rlike(DEFINITION)).withColumn("counts", s.rlike(NUMERIC)).withColumn("binds", s.rlike(NORMATIVE)).withColumn("excepts", s.rlike(EXCEPTION)).where("defines OR counts OR binds")
     first = marked.withColumn("n", F.row_number().over(W.partitionBy("document_id", T.normal(s)).orderBy("ordinal", "sentence_no"))).where("n = 1")
     place = F.row_number().over(W.partitionBy("document_id").orderBy("ordinal", "sentence_no"))
-    return first.withColumn("place", place.cast("long")).where(F.col("place") <= limit).select("document_id", "ordinal", "sentence_no", "place", "sentence", "defines", "counts", "binds", F.when(F.col("defines"), DEFINED).otherwise(FACT).alias("importance"))
+    return first.withColumn("place", place.cast("long")).where(F.col("place") <= limit).select("document_id", "ordinal", "sentence_no", "place", "sentence", "defines", "counts", "binds", "excepts", F.when(F.col("defines") | F.col("binds"), DEFINED).otherwise(FACT).alias("importance"))
 
 
 def _each(text: Column, pattern: str, *groups: int) -> Column:
@@ -50,7 +50,7 @@ def quantities(found: DataFrame) -> DataFrame:
     lower = F.lower(unit)
     named = F.create_map(*[F.lit(v) for kv in UNITS.items() for v in kv])[lower]
     unit = F.coalesce(named, F.when(F.length(unit) == 3, F.upper(unit)).otherwise(unit))
-    return x.select("document_id", "ordinal", "sentence_no", F.replace(F.col("q.g2"), F.lit(","), F.lit("")).alias("value"), unit.alias("unit"), F.lower("q.g3").alias("scale")).distinct()
+    return x.select("document_id", "ordinal", "sentence_no", F.replace(F.col("q.g2"), F.lit(","), F.lit("")).alias("value"), unit.alias("unit"), F.nullif(F.lower("q.g3"), F.lit("")).alias("scale")).distinct()
 
 
 def references(nodes: DataFrame) -> DataFrame:

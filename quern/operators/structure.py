@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quern.functions import text as T
 from quern.operators.retrieval import DIGITS
 
 SIBLING, LIST, PAGE = 0.85, 0.9, 0.8
@@ -46,3 +47,37 @@ def page_neighbours(anchors: DataFrame, units: DataFrame, distance: int = PAGE_D
     score = F.round(F.col("anchor_score") * F.pow(F.lit(PAGE), F.greatest(F.col("distance"), F.lit(1))), DIGITS)
     out = best.withColumn("score", score).withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")).cast("long"))
     return out.where(F.col("rank") <= limit).select("query_id", "rank", "chunk_id", "distance", "score")
+
+
+def relatives(nodes: DataFrame, kind: str, limit: int, penalty: float, same_heading: bool) -> DataFrame:
+    """As neighbours(), among the children of one parent (or the roots): nodes with parent, place and heading_path."""
+    keys = ["document_id", F.coalesce("parent", F.lit(-1)).alias("family"), "place"]
+    steps = F.explode(F.array(*[F.lit(d) for d in range(-limit, limit + 1) if d])).alias("d")
+    of = nodes.where(F.col("kind") == kind)
+    a = of.select(*keys, F.col("ordinal").alias("anchor"), F.col("heading_path").alias("own"), steps).withColumn("place", F.col("place") + F.col("d"))
+    both = a.join(of.select(*keys, F.col("ordinal").alias("neighbour"), "heading_path"), ["document_id", "family", "place"])
+    both = both.where("own = heading_path") if same_heading else both
+    return both.select("document_id", "anchor", "neighbour", F.abs("d").cast("long").alias("distance"), F.round(F.pow(F.lit(penalty), F.abs("d")), DIGITS).alias("penalty"))
+
+
+def outward(units: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(document_id, unit, neighbour, kind, penalty): next to the first and last node of a unit of several, away from it."""
+    several = units.where("n_nodes > 1")
+    edges = several.select("document_id", "unit", F.explode(F.array(F.struct(F.array_min("members").alias("edge"), F.lit(-1).alias("way")), F.struct(F.array_max("members").alias("edge"), F.lit(1).alias("way")))).alias("e")).select("document_id", "unit", F.col("e.edge").alias("edge"), F.col("e.way").alias("way"))
+    near = relatives(nodes, "paragraph", 1, SIBLING, True).withColumn("kind", F.lit("paragraph")).unionByName(relatives(nodes, "list_item", 1, LIST, False).withColumn("kind", F.lit("list_item")))
+    met = edges.join(near.withColumnRenamed("anchor", "edge"), ["document_id", "edge"]).where("(neighbour - edge) * way > 0")
+    return met.select("document_id", "unit", "neighbour", "kind", "penalty")
+
+
+def semantic_html(nodes: DataFrame) -> DataFrame:
+    """(document_id, html, n_nodes): an outline of links, then body nodes in tags by kind, headings by the depth of their path."""
+    n = nodes.where("content_layer = 'body' AND kind <> 'list'")
+    depth = F.concat(F.lit("h"), F.least(F.lit(6), F.size("heading_path") + 1).cast("string"))
+    tag = F.when(F.col("kind") == "title", "h1").when(F.col("kind") == "heading", depth).when(F.col("kind") == "list_item", "li").when(F.col("kind") == "caption", "figcaption").when(F.col("kind").isin("code", "table"), "pre").otherwise("p")
+    body = T.escape_html(F.col("text"))
+    link = F.when(F.col("kind").isin("title", "heading"), F.concat(F.lit('<a href="#'), "node_id", F.lit('">'), body, F.lit("</a>")))
+    whole = F.concat(F.lit("<"), tag, F.lit(' id="'), F.col("node_id"), F.lit('">'), body, F.lit("</"), tag, F.lit(">"))
+    rows = n.select("document_id", "ordinal", link.alias("link"), whole.alias("whole")).groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", "link", "whole"))).alias("x"))
+    nav = F.concat_ws("", F.transform("x", lambda r: r["link"]))
+    html = F.concat(F.lit("<nav>"), nav, F.lit("</nav>\n"), F.concat_ws("\n", F.transform("x", lambda r: r["whole"])))
+    return rows.select("document_id", html.alias("html"), F.size("x").cast("long").alias("n_nodes"))

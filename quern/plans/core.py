@@ -49,7 +49,7 @@ found AS (SELECT document_id, spot, tag, trim(regexp_replace(replace(replace(rep
 numbered AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY spot) - 1 AS ordinal FROM found WHERE text <> ''),
 page_nodes AS (SELECT document_id, 'node_' || sha256(concat_ws(chr(0), 'quern.node.v1', document_id, ordinal, text)) AS node_id, ordinal::BIGINT AS ordinal,
   CASE tag WHEN 'title' THEN 'title' WHEN 'h1' THEN 'title' WHEN 'h2' THEN 'heading' WHEN 'h3' THEN 'heading' WHEN 'p' THEN 'paragraph' WHEN 'li' THEN 'list_item' ELSE 'other' END AS kind,
-  CASE WHEN tag IN ('footer', 'nav', 'div', 'title') THEN 'furniture' ELSE 'body' END AS content_layer, text, 1::BIGINT AS page, len(regexp_extract_all(text, '\\S+'))::BIGINT AS token_count FROM numbered)"""
+  CASE WHEN tag IN ('footer', 'nav', 'div', 'title') THEN 'furniture' ELSE 'body' END AS content_layer, text, 1::BIGINT AS page, len(regexp_extract_all(text, '\\S+'))::BIGINT AS token_count, CASE tag WHEN 'title' THEN 0 WHEN 'h1' THEN 0 WHEN 'h2' THEN 1 WHEN 'h3' THEN 2 END::BIGINT AS level FROM numbered)"""
 
 CHUNKS = f"""{NODES},
 bodies_ AS (SELECT document_id, regexp_extract_all(string_agg(text, chr(10) ORDER BY ordinal), '\\S+') AS t FROM nodes WHERE trim(text) <> '' GROUP BY 1),
@@ -82,7 +82,7 @@ def nodes_documents(spark, sf_dir):
     return nodes(spark, sf_dir)
 
 
-@query(f"WITH {PAGE_NODES} SELECT document_id, node_id, ordinal, kind, content_layer, text, page, token_count FROM page_nodes")
+@query(f"WITH {PAGE_NODES} SELECT document_id, node_id, ordinal, kind, content_layer, text, page, token_count, level FROM page_nodes")
 def nodes_pages(spark, sf_dir):
     """Text of HTML pages as typed nodes, furniture apart."""
     return trees.page_nodes(table(spark, sf_dir, "pages"))
@@ -95,10 +95,10 @@ def nodes_conversations(spark, sf_dir):
     return trees.conversation_nodes(table(spark, sf_dir, "conversations"))
 
 
-@query(f"WITH {NODES}, {PAGE_NODES}, every AS (SELECT * FROM nodes UNION ALL SELECT * FROM page_nodes) SELECT document_id, count(*) AS n_nodes, count(*) FILTER (WHERE kind IN ('title', 'heading')) AS n_headings, count(*) FILTER (WHERE kind = 'table') AS n_tables, count(DISTINCT page) AS n_pages, sum(token_count)::BIGINT AS n_tokens FROM every GROUP BY 1")
+@query(f"WITH {NODES}, {PAGE_NODES}, every AS (SELECT * FROM nodes UNION ALL BY NAME SELECT * FROM page_nodes) SELECT document_id, count(*) AS n_nodes, count(*) FILTER (WHERE kind IN ('title', 'heading')) AS n_headings, count(*) FILTER (WHERE kind = 'table') AS n_tables, count(DISTINCT page) AS n_pages, sum(token_count)::BIGINT AS n_tokens FROM every GROUP BY 1")
 def node_kind_counts(spark, sf_dir):
     """Counts of nodes, headings, tables, pages and tokens of each document."""
-    every = nodes(spark, sf_dir).unionByName(trees.page_nodes(table(spark, sf_dir, "pages")))
+    every = nodes(spark, sf_dir).unionByName(trees.page_nodes(table(spark, sf_dir, "pages")), allowMissingColumns=True)
     return every.groupBy("document_id").agg(
         F.count("*").alias("n_nodes"), F.count_if(F.col("kind").isin("title", "heading")).alias("n_headings"), F.count_if(F.col("kind") == "table").alias("n_tables"),
         F.countDistinct("page").alias("n_pages"), F.sum("token_count").alias("n_tokens"),
@@ -106,9 +106,9 @@ def node_kind_counts(spark, sf_dir):
 
 
 PATHS = f"""{PAGE_NODES},
-heads AS (SELECT document_id, ordinal AS start, CASE kind WHEN 'title' THEN 0 ELSE 1 END AS level, trim(text) AS head FROM page_nodes WHERE kind IN ('title', 'heading') AND content_layer = 'body' AND trim(text) <> ''),
-scopes AS (SELECT *, coalesce(CASE level WHEN 0 THEN min(CASE level WHEN 0 THEN start END) OVER l ELSE min(start) OVER l END, 1099511627776) AS stop FROM heads WINDOW l AS (PARTITION BY document_id ORDER BY start ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
-paths AS (SELECT n.document_id, n.ordinal, coalesce(list(s.head ORDER BY s.level, s.start) FILTER (WHERE s.head IS NOT NULL), []) AS heading_path
+heads AS (SELECT document_id, ordinal AS start, CASE kind WHEN 'title' THEN 0 ELSE level END AS level, trim(text) AS head FROM page_nodes WHERE content_layer = 'body' AND (kind = 'title' OR (kind = 'heading' AND trim(text) <> ''))),
+scopes AS (SELECT a.*, coalesce((SELECT min(b.start) FROM heads b WHERE b.document_id = a.document_id AND b.start > a.start AND b.level <= a.level), 1099511627776) AS stop FROM heads a),
+paths AS (SELECT n.document_id, n.ordinal, coalesce(list(s.head ORDER BY s.level, s.start) FILTER (WHERE s.head <> ''), []) AS heading_path
   FROM page_nodes n LEFT JOIN scopes s ON n.content_layer = 'body' AND s.document_id = n.document_id AND n.ordinal >= s.start AND n.ordinal < s.stop GROUP BY 1, 2)"""
 
 

@@ -32,7 +32,7 @@ def query(sql: str | None = None):
 
 SENTENCES = f"""{NODES}, split_ AS (SELECT document_id, ordinal, list_filter(list_transform(string_split(regexp_replace(trim(text), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '') AS p FROM nodes),
 sentences AS (SELECT document_id, ordinal, (generate_subscripts(p, 1) - 1)::BIGINT AS sentence_no, unnest(p) AS sentence FROM split_)"""
-FACTS = f"""{SENTENCES}, marked AS (SELECT *, regexp_matches(sentence, '{E.DEFINITION}') AS defines, regexp_matches(sentence, '{E.NUMERIC}') AS counts, regexp_matches(sentence, '{E.NORMATIVE}') AS binds FROM sentences),
+FACTS = f"""{SENTENCES}, marked AS (SELECT *, regexp_matches(sentence, '{E.DEFINITION}') AS defines, regexp_matches(sentence, '{E.NUMERIC}') AS counts, regexp_matches(sentence, '{E.NORMATIVE}') AS binds, regexp_matches(sentence, '{E.EXCEPTION}') AS excepts FROM sentences),
 firsts AS (SELECT * FROM marked WHERE defines OR counts OR binds QUALIFY row_number() OVER (PARTITION BY document_id, {NORMAL.format('sentence')} ORDER BY ordinal, sentence_no) = 1),
 facts AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY ordinal, sentence_no) AS place FROM firsts)"""
 
@@ -47,42 +47,13 @@ def sentences(spark, sf_dir):
     return E.sentences(nodes(spark, sf_dir))
 
 
-@query(f"WITH {FACTS} SELECT document_id, ordinal, sentence_no, place, sentence, defines, counts, binds, CASE WHEN defines THEN 0.9::DOUBLE ELSE 0.78::DOUBLE END AS importance FROM facts WHERE place <= 2000")
+@query(f"WITH {FACTS} SELECT document_id, ordinal, sentence_no, place, sentence, defines, counts, binds, excepts, CASE WHEN defines OR binds THEN 0.9::DOUBLE ELSE 0.78::DOUBLE END AS importance FROM facts WHERE place <= 2000")
 def key_facts(spark, sf_dir):
     """Sentences that define, count or bind."""
     return _facts(spark, sf_dir)
 
 
 QUANTITY = "(?i)([$£€¥])?\\s*(\\d[\\d,]*(?:\\.\\d+)?)\\s*(?:(thousand|million|billion|trillion)\\s*)?(%|percent|USD|EUR|GBP|JPY|kg|g|km|m|cm|mm|ms|s|hours?|days?)?(?:\\s|[.,;:!?)]|$)"
-Q = lambda k: f"regexp_extract_all(sentence, '{QUANTITY}', {k})"
-
-
-@query(f"""WITH {FACTS}, q AS (SELECT document_id, ordinal, sentence_no, unnest({Q(1)}) AS c, unnest({Q(2)}) AS v, unnest({Q(3)}) AS s, unnest({Q(4)}) AS u FROM facts WHERE place <= 2000),
-n AS (SELECT *, CASE c WHEN '$' THEN 'USD' WHEN '£' THEN 'GBP' WHEN '€' THEN 'EUR' WHEN '¥' THEN 'JPY' ELSE u END AS unit FROM q WHERE c <> '' OR u <> '')
-SELECT DISTINCT document_id, ordinal, sentence_no, replace(v, ',', '') AS value, CASE lower(unit) WHEN 'percent' THEN '%' WHEN 'hour' THEN 'hours' WHEN 'day' THEN 'days' ELSE CASE WHEN len(unit) = 3 THEN upper(unit) ELSE unit END END AS unit, lower(s) AS scale FROM n""")
-def quantities(spark, sf_dir):
-    """Quantities in key facts."""
-    return E.quantities(_facts(spark, sf_dir))
-
-
-@query(f"WITH {NODES}, r AS (SELECT document_id, ordinal, unnest(regexp_extract_all(text, '{E.REFERENCE}', 1)) AS k, unnest(regexp_extract_all(text, '{E.REFERENCE}', 2)) AS l FROM nodes) SELECT DISTINCT document_id, ordinal, lower(k) AS kind, upper(k[1]) || lower(k[2:]) || ' ' || l AS reference FROM r")
-def references(spark, sf_dir):
-    """Explicit references."""
-    return E.references(nodes(spark, sf_dir))
-
-
-@query(f"""WITH {NODES}, a AS (SELECT document_id, unnest(regexp_extract_all(text, '{E.ALIAS.replace("'", "''")}', 1)) AS n, unnest(regexp_extract_all(text, '{E.ALIAS.replace("'", "''")}', 2)) AS a FROM nodes) SELECT DISTINCT document_id, trim(regexp_replace(n, '\\s+', ' ', 'g')) AS name, a AS alias FROM a""")
-def aliases(spark, sf_dir):
-    """Names and their short forms."""
-    return E.aliases(nodes(spark, sf_dir))
-
-
-@query(f"WITH {NODES} SELECT DISTINCT document_id, ordinal, unnest(regexp_extract_all(text, '{E.DATE}')) AS mention FROM nodes")
-def date_mentions(spark, sf_dir):
-    """Years and months that are mentioned."""
-    return E.dates(nodes(spark, sf_dir))
-
-
 @query(f"WITH {PAGE_NODES} SELECT document_id, ordinal, text, CASE kind WHEN 'title' THEN 0 ELSE 1 END::BIGINT AS depth, 0.45::DOUBLE AS importance FROM page_nodes WHERE kind IN ('title', 'heading') AND content_layer = 'body'")
 def outline(spark, sf_dir):
     """Titles and headings of pages."""
@@ -97,8 +68,8 @@ def section_summary(spark, sf_dir):
     return s.groupBy("document_id").agg(F.concat_ws(" ", F.transform(F.sort_array(F.collect_list(F.struct("n", "sentence"))), lambda x: x["sentence"])).alias("summary"), F.lit(0.65).alias("importance"))
 
 
-@query(f"""WITH {FACTS}, f AS (SELECT document_id, CASE WHEN defines THEN 'definition' ELSE 'key_fact' END AS kind, sentence AS text, CASE WHEN defines THEN 0.9::DOUBLE ELSE 0.78::DOUBLE END AS importance, place FROM facts)
-SELECT document_id, '{{"@type":"Document","features":[' || string_agg('{{"kind":"' || kind || '","place":' || place || ',"importance":' || CASE kind WHEN 'definition' THEN '0.9' ELSE '0.78' END || ',"sha256":"' || sha256(text) || '"}}', ',' ORDER BY place) || ']}}' AS jsonld FROM f GROUP BY 1""")
+@query(f"""WITH {FACTS}, f AS (SELECT document_id, CASE WHEN defines THEN 'definition' ELSE 'key_fact' END AS kind, sentence AS text, defines OR binds AS high, place FROM facts)
+SELECT document_id, '{{"@type":"Document","features":[' || string_agg('{{"kind":"' || kind || '","place":' || place || ',"importance":' || CASE WHEN high THEN '0.9' ELSE '0.78' END || ',"sha256":"' || sha256(text) || '"}}', ',' ORDER BY place) || ']}}' AS jsonld FROM f GROUP BY 1""")
 def jsonld(spark, sf_dir):
     """Features of each document as one JSON-LD object, texts by digest."""
     f = _facts(spark, sf_dir).select("document_id", "place", F.struct(F.when(F.col("defines"), "definition").otherwise("key_fact").alias("kind"), "place", "importance", F.sha2("sentence", 256).alias("sha256")).alias("x"))

@@ -50,12 +50,6 @@ def sibling_expand(spark, sf_dir):
     return S.neighbours(_with_paths(spark, sf_dir), "paragraph", 1, S.SIBLING, True)
 
 
-@query(_near("list_item", S.LIST, False))
-def list_neighbors(spark, sf_dir):
-    """List items next to each list item."""
-    return S.neighbours(_with_paths(spark, sf_dir), "list_item", 1, S.LIST, False)
-
-
 UNITS = f"""{NODES}, units AS (SELECT 'chunk_' || sha256(concat_ws(chr(0), 'quern.chunk.page.v1', document_id, page)) AS chunk_id, document_id, page, string_agg(text, chr(10) ORDER BY ordinal) AS text, sum(token_count)::BIGINT AS token_count
   FROM nodes WHERE trim(text) <> '' GROUP BY document_id, page)"""
 #: Questions meet pages of documents: BM25 with the same definition as over windows.

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quern.plans import core, facts, packs
+from quern.plans import catalog, core, facts, packs
 
-MODULES = (core, packs, facts)
+MODULES = (core, packs, facts, catalog)
 
 
 def queries() -> dict:

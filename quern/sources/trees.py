@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
+from quern.sources.graph import heading_paths  # noqa: F401 part of this module's face
 
 #: Lines of a plain document on one synthetic page.
 LINES_PER_PAGE = 8
@@ -22,6 +23,7 @@ def _finished(nodes: DataFrame) -> DataFrame:
         "text",
         "page",
         T.word_count(F.col("text")).alias("token_count"),
+        *(["level"] if "level" in nodes.columns else []),
     )
 
 
@@ -44,7 +46,8 @@ def page_nodes(pages: DataFrame) -> DataFrame:
     layer = F.when(F.col("tag").isin("footer", "nav", "div", "title"), "furniture").otherwise("body")
     order = W.partitionBy("document_id").orderBy("at")
     nodes = found.withColumn("kind", kind).withColumn("content_layer", layer).withColumn("ordinal", (F.row_number().over(order) - 1).cast("long"))
-    return _finished(nodes.withColumn("page", F.lit(1).cast("long")))
+    level = F.expr("CASE tag WHEN 'title' THEN 0 WHEN 'h1' THEN 0 WHEN 'h2' THEN 1 WHEN 'h3' THEN 2 END").cast("long")
+    return _finished(nodes.withColumn("page", F.lit(1).cast("long")).withColumn("level", level))
 
 
 def conversation_nodes(conversations: DataFrame) -> DataFrame:
@@ -59,23 +62,3 @@ def conversation_nodes(conversations: DataFrame) -> DataFrame:
         F.lit(1).cast("long").alias("page"),
     )
     return _finished(turns)
-
-
-def heading_paths(nodes: DataFrame) -> DataFrame:
-    """(document_id, ordinal, heading_path): titles reset, headings nest by scope.
-
-    A heading's scope ends where the next one of its level or above begins: a join on document and
-    a range of ordinals in place of a stack.
-    """
-    level = F.when(F.col("kind") == "title", 0).when(F.col("kind") == "heading", 1)
-    heads = nodes.where("kind IN ('title', 'heading') AND content_layer = 'body' AND trim(text) <> ''").select("document_id", F.col("ordinal").alias("start"), level.alias("level"), F.trim("text").alias("head"))
-    later = W.partitionBy("document_id").orderBy("start").rowsBetween(1, W.unboundedFollowing)
-    next_title = F.min(F.when(F.col("level") == 0, F.col("start"))).over(later)
-    next_any = F.min("start").over(later)
-    heads = heads.withColumn("stop", F.coalesce(F.when(F.col("level") == 0, next_title).otherwise(next_any), F.lit(1 << 40)))
-    body = nodes.where("content_layer = 'body'").select("document_id", "ordinal")
-    inside = body.join(heads, "document_id", "left").where("start IS NULL OR (ordinal >= start AND ordinal < stop)")
-    paths = inside.groupBy("document_id", "ordinal").agg(F.transform(F.sort_array(F.collect_list(F.struct("level", "start", "head"))), lambda x: x["head"]).alias("heading_path"))
-    return nodes.select("document_id", "ordinal").join(paths, ["document_id", "ordinal"], "left").select(
-        "document_id", "ordinal", F.filter(F.coalesce("heading_path", F.array().cast("array<string>")), lambda x: x.isNotNull()).alias("heading_path")
-    )
