@@ -87,9 +87,3 @@ def answer_type(answerable: Column, form: Column, rule: Column) -> Column:
 def response_cost(tokens_in: Column, cached: Column, tokens_out: Column, price_in: float, price_cached: float, price_out: float) -> Column:
     """Price of a call, prices by the million tokens."""
     return ((tokens_in - cached) * price_in + cached * price_cached + tokens_out * price_out) / 1_000_000
-
-
-def without_fence(text: Column) -> Column:
-    """What is inside one enclosing code fence, or the text."""
-    inner = F.regexp_extract(F.trim(text), r"(?s)^```[a-zA-Z]*\n(.*)\n```$", 1)
-    return F.when(inner != "", inner).otherwise(F.trim(text))

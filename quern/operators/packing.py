@@ -104,7 +104,8 @@ def coverage(candidates: DataFrame, adaptive: bool = False, frame: int = FRAME)
                 break
             least = min(r.tier for r in fits)
             fits = [r for r in fits if r.tier == least]
-            if adaptive and ({k for k, f in enumerate(facets) if f} <= done["facets"] or not any(pages[r.chunk_id] - done["pages"] for r in fits)):
+            coverable = {k for k, f in enumerate(facets) if f}  # without facets only pages tell whether breadth is exhausted
+            if adaptive and ((coverable and coverable <= done["facets"]) or not any(pages[r.chunk_id] - done["pages"] for r in fits)):
                 for r in sorted(rows, key=lambda r: (r.tier, -r.reranked, r.rank, r.chunk_id)):
                     if cost[r.chunk_id] <= left:
                         out.append((r.query_id, r.budget, len(out) + 1, r.chunk_id, 0.0))

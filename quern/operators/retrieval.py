@@ -43,23 +43,26 @@ def bm25_stats(chunks: DataFrame) -> DataFrame:
     return df.join(F.broadcast(n)).select("term", "df", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
+def bm25(chunks: DataFrame, queries: DataFrame, limit: int, scope: DataFrame | None = None) -> DataFrame:
     """(query_id, rank, chunk_id, sparse): statistics over all chunks; repeated query terms count repeatedly; positive scores only.
 
-    Chunks' terms meet the query's terms before any shuffle, so that postings of other terms never move.
+    With scope (query_id, document_id), a query's chunks are those of its documents; statistics stay those of all. Chunks' terms meet the query's terms before any shuffle, so that postings of other terms never move.
     """
     asked = queries.select("query_id", F.explode(T.terms(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     vocabulary = asked.select("term").distinct()
-    sized = chunks.select("chunk_id", T.terms(F.col("text")).alias("t"))
+    own = ["document_id"] if scope is not None else []
+    sized = chunks.select("chunk_id", *own, T.terms(F.col("text")).alias("t"))
     whole = sized.agg(F.count("*").alias("n"), F.greatest(F.avg(F.size("t")), F.lit(1.0)).alias("average"))
     few = queries.limit(QUERY_ROWS // 100 + 1).count() <= QUERY_ROWS // 100  # so few queries have few terms
     near = F.broadcast if few else (lambda df: df)
-    posted = sized.select("chunk_id", F.size("t").alias("length"), F.explode("t").alias("term")).join(near(vocabulary), "term", "left_semi").groupBy("chunk_id", "term", "length").agg(F.count("*").alias("tf"))
+    posted = sized.select("chunk_id", *own, F.size("t").alias("length"), F.explode("t").alias("term")).join(near(vocabulary), "term", "left_semi").groupBy("chunk_id", *own, "term", "length").agg(F.count("*").alias("tf"))
     # a term's weight in a chunk doesn't depend on the query, so it is worked out once
     df = posted.groupBy("term").agg(F.count("*").alias("df"))
     weight = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("average")))
-    weighed = posted.join(near(df), "term").join(F.broadcast(whole)).select("chunk_id", "term", weight.alias("w"))
-    scored = weighed.join(near(asked), "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("qtf") * F.col("w")), DIGITS).alias("sparse")).where("sparse > 0")
+    weighed = posted.join(near(df), "term").join(F.broadcast(whole)).select("chunk_id", *own, "term", weight.alias("w"))
+    if scope is not None:  # terms of a query meet those of its documents only
+        asked = asked.join(scope.select("query_id", "document_id").distinct(), "query_id")
+    scored = weighed.join(near(asked) if scope is None else asked, ["term", *own]).groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("qtf") * F.col("w")), DIGITS).alias("sparse")).where("sparse > 0")
     return ranked(scored, F.desc("sparse"), F.col("chunk_id")).where(F.col("rank") <= limit)
 
 

@@ -18,7 +18,7 @@ from quern.operators import structure as S
 from quern.plans import facts
 from quern.plans.core import FOLD
 from quern.plans.facts import HTML, QUANTITY
-from quern.runtime import stored, table
+from quern.runtime import memo, stored, table
 from quern.sources import graph
 
 QUERIES: dict = {}
@@ -327,9 +327,10 @@ def table_rows(spark, sf_dir):
     return r.select("document_id", "ordinal", "row_index", "text", F.col("by_label")["Balance"].alias("balance"))
 
 
+@memo
 def features(spark, sf_dir) -> DataFrame:
     n = stored(nodes(spark, sf_dir), "register")
-    return X.identified(X.enriched(n, graph.heading_paths(n), tables(spark, sf_dir, n)))
+    return stored(X.identified(X.enriched(n, graph.heading_paths(n), tables(spark, sf_dir, n))), "features")
 
 
 @query(f"WITH {IDENTIFIED} SELECT document_id, ordinal, kind, text, importance, page, feature_id FROM feat")

@@ -186,7 +186,9 @@ HASHED = """(SELECT {0}, bucket, v / sqrt(sum(v * v) OVER (PARTITION BY {0})) AS
 DENSE = f"""qv AS {HASHED.format('query_id', TERMS.format('query'), 'questions')}, cv AS {HASHED.format('chunk_id', TERMS.format('text'), 'chunks')},
 d AS (SELECT query_id, chunk_id, round(sum(qv.w * cv.w), 6) AS dense FROM cv JOIN qv USING (bucket) GROUP BY 1, 2),
 dense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dense DESC, chunk_id) AS rank FROM d WHERE dense > 0)"""
-FUSED = f"""{BM25}, {DENSE}, s AS (SELECT query_id, chunk_id, 1.0::DOUBLE / (60 + rank) AS s FROM bm25 WHERE rank <= 100 UNION ALL SELECT query_id, chunk_id, 1.0::DOUBLE / (60 + rank) FROM dense WHERE rank <= 100),
+#: Hits of each ranking that are fused where a budget is given.
+CHANNEL = 500
+FUSED = f"""{BM25}, {DENSE}, s AS (SELECT query_id, chunk_id, 1.0::DOUBLE / (60 + rank) AS s FROM bm25 WHERE rank <= {CHANNEL} UNION ALL SELECT query_id, chunk_id, 1.0::DOUBLE / (60 + rank) FROM dense WHERE rank <= {CHANNEL}),
 u AS (SELECT query_id, chunk_id, round(sum(s), 9) AS fused FROM s GROUP BY 1, 2), fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, chunk_id) AS rank FROM u)"""
 
 
@@ -226,7 +228,7 @@ def vector_topk(spark, sf_dir):
 def fusion(spark, sf_dir):
     """Both rankings of windows fused; with texts. Windows are stored, as both rankings and the texts read them."""
     c, q = stored(windows(spark, sf_dir), "windows"), questions(spark, sf_dir)
-    found = R.fused([R.bm25(c, q, 100), R.dense(c, q, 100)])
+    found = R.fused([R.bm25(c, q, CHANNEL), R.dense(c, q, CHANNEL)])
     return found.join(c.select("chunk_id", "document_id", "text", "token_count"), "chunk_id").join(R.small(q), "query_id")
 
 
@@ -234,7 +236,7 @@ def fusion(spark, sf_dir):
 def rrf_fusion(spark, sf_dir):
     """Reciprocal rank fusion of both rankings."""
     c, q = windows(spark, sf_dir), questions(spark, sf_dir)
-    return R.fused([R.bm25(c, q, 100), R.dense(c, q, 100)]).select("query_id", "rank", "chunk_id", "fused")
+    return R.fused([R.bm25(c, q, CHANNEL), R.dense(c, q, CHANNEL)]).select("query_id", "rank", "chunk_id", "fused")
 
 
 HITS = f"{FUSED}, hits AS (SELECT f.query_id, f.rank, f.chunk_id, f.fused, c.document_id, c.text, c.token_count, q.query FROM fused f JOIN chunks c USING (chunk_id) JOIN questions q USING (query_id))"
@@ -299,13 +301,13 @@ def asked_facets(spark, sf_dir):
 
 @query(f"""WITH base AS (SELECT item_id AS query_id, coalesce(text, '') AS query FROM benchmark), {FACETS.replace('FROM questions', 'FROM base')},
 {CHUNKS}, questions AS (SELECT query_id * 10 AS query_id, query FROM base UNION ALL SELECT query_id * 10 + facet_no, facet FROM facets), {BM25.split('questions AS (SELECT item_id AS query_id, coalesce(text, ' + "''" + ') AS query FROM benchmark),')[1]},
-w AS (SELECT query_id // 10 AS query_id, chunk_id, rank, (CASE query_id % 10 WHEN 0 THEN 2.0 ELSE 1.0 END)::DOUBLE / (60 + rank) AS s FROM bm25 WHERE rank <= 50),
-u AS (SELECT query_id, chunk_id, round(sum(s), 9) AS fused, min(rank) AS best_rank FROM w GROUP BY 1, 2), c AS (SELECT query_id // 10 AS query_id, count(*) AS n FROM bm25 WHERE rank <= 50 AND query_id % 10 = 0 GROUP BY 1),
+w AS (SELECT query_id // 10 AS query_id, chunk_id, rank, (CASE query_id % 10 WHEN 0 THEN 2.0 ELSE 1.0 END)::DOUBLE / (60 + rank) AS s FROM bm25 WHERE rank <= {CHANNEL}),
+u AS (SELECT query_id, chunk_id, round(sum(s), 9) AS fused, min(rank) AS best_rank FROM w GROUP BY 1, 2), c AS (SELECT query_id // 10 AS query_id, count(*) AS n FROM bm25 WHERE rank <= {CHANNEL} AND query_id % 10 = 0 GROUP BY 1),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, best_rank, chunk_id) AS rank FROM u) SELECT r.query_id, r.rank, r.chunk_id, r.fused, r.best_rank FROM r JOIN c USING (query_id) WHERE r.rank <= c.n""")
 def faceted_fusion(spark, sf_dir):
     """Rankings of a question (weight 2) and of its facets (weight 1) fused and cut to the length of the question's."""
     every = asked_facets(spark, sf_dir)
-    found = R.bm25(windows(spark, sf_dir), every.select("query_id", "query"), 50)
+    found = R.bm25(windows(spark, sf_dir), every.select("query_id", "query"), CHANNEL)
     of = found.select(F.floor(F.col("query_id") / 10).cast("long").alias("query_id"), (F.col("query_id") % 10 == 0).alias("whole"), "chunk_id", "rank")
     s = F.when(F.col("whole"), 2.0).otherwise(1.0) / (R.RRF + F.col("rank"))
     n = of.groupBy("query_id").agg(F.count_if(F.col("whole")).alias("n"))

@@ -225,7 +225,7 @@ def nearest_rank_percentile(spark, sf_dir):
     return r.groupBy("o_orderpriority", "n").agg(pick(0.025).alias("low"), pick(0.5).alias("middle"), pick(0.975).alias("high"))
 
 
-DRAWS = 500
+DRAWS = 10_000
 
 
 @query(f"""WITH c AS (SELECT c_nationkey, count(*) AS n, sum(c_acctbal) AS s FROM customer GROUP BY 1), k AS (SELECT *, row_number() OVER (ORDER BY c_nationkey) - 1 AS i, count(*) OVER () AS m FROM c),

@@ -54,7 +54,8 @@ UNITS = f"""{NODES}, units AS (SELECT 'chunk_' || sha256(concat_ws(chr(0), 'quer
   FROM nodes WHERE trim(text) <> '' GROUP BY document_id, page)"""
 #: Questions meet pages of documents: BM25 with the same definition as over windows.
 UNIT_BM25 = BM25.replace(CHUNKS, UNITS + ", chunks AS (SELECT * FROM units)")
-PACK_LIMIT = 50
+PACK_LIMIT = 500
+ANCHORS = 20
 CANDIDATES = f"{UNIT_BM25}, candidates AS (SELECT b.query_id, b.rank, b.chunk_id, b.sparse, u.document_id, u.page, u.text, u.token_count, q.query FROM bm25 b JOIN units u USING (chunk_id) JOIN questions q USING (query_id) WHERE b.rank <= {PACK_LIMIT})"
 
 
@@ -71,14 +72,14 @@ def candidates(spark, sf_dir) -> DataFrame:
     return stored(R.bm25(u, q, PACK_LIMIT).join(u, "chunk_id").join(R.small(q), "query_id"), "candidates")
 
 
-@query(f"""WITH {CANDIDATES}, a AS (SELECT * FROM candidates WHERE rank <= 5),
+@query(f"""WITH {CANDIDATES}, a AS (SELECT * FROM candidates WHERE rank <= {ANCHORS}),
 n AS (SELECT a.query_id, u.chunk_id, abs(u.page - a.page) AS distance, a.rank AS anchor_rank, a.sparse FROM a JOIN units u ON u.document_id = a.document_id AND abs(u.page - a.page) <= 3 WHERE (a.query_id, u.chunk_id) NOT IN (SELECT (query_id, chunk_id) FROM a)),
 best AS (SELECT *, round(sparse * pow(0.8, greatest(distance, 1)), 6) AS score FROM n QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY distance, anchor_rank) = 1),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM best) SELECT query_id, rank, chunk_id, distance, score FROM r WHERE rank <= 64""")
 def page_neighbors(spark, sf_dir):
-    """Pages near the five best of each question."""
+    """Pages near the twenty best of each question."""
     u = units(spark, sf_dir)
-    anchors = candidates(spark, sf_dir).where("rank <= 5").select("query_id", "rank", F.col("sparse").alias("score"), "document_id", "page", "chunk_id")
+    anchors = candidates(spark, sf_dir).where(F.col("rank") <= ANCHORS).select("query_id", "rank", F.col("sparse").alias("score"), "document_id", "page", "chunk_id")
     return S.page_neighbours(anchors, u)
 
 
@@ -101,10 +102,10 @@ def dedupe_full(spark, sf_dir):
 BUDGETED = f"{CANDIDATES}, budgeted AS (SELECT *, unnest([2048, 4096, 8192, 16384])::BIGINT AS budget FROM candidates)"
 
 
-@query(f"WITH {BUDGETED} SELECT query_id, budget, rank, chunk_id FROM (SELECT *, coalesce(sum(token_count + 3) OVER (PARTITION BY query_id, budget ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM budgeted) WHERE rank <= 10 OR b < budget * 1.5")
+@query(f"WITH {BUDGETED} SELECT query_id, budget, rank, chunk_id FROM (SELECT *, coalesce(sum(token_count + 3) OVER (PARTITION BY query_id, budget ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM budgeted) WHERE rank <= {P.POOL} OR b < budget * 1.5")
 def pool_cap(spark, sf_dir):
-    """The first ten candidates, or one and a half budgets of them."""
-    return P.pool_cap(P.with_budgets(candidates(spark, sf_dir)), 10, 1.5).select("query_id", "budget", "rank", "chunk_id")
+    """The first 500 candidates, or one and a half budgets of them."""
+    return P.pool_cap(P.with_budgets(candidates(spark, sf_dir)), multiple=1.5).select("query_id", "budget", "rank", "chunk_id")
 
 
 def packed(spark, sf_dir, found: DataFrame | None = None) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quern.plans import catalog, core, facts, packs
+from quern.plans import answering, catalog, compiled, core, facts, packs
 
-MODULES = (core, packs, facts, catalog)
+MODULES = (core, packs, facts, catalog, compiled, answering)
 
 
 def queries() -> dict:

@@ -90,6 +90,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def memo(make):
+    """make(spark, sf_dir) once for a session and its tables: what several queries of one session read again. Only the last result is kept."""
+    last: dict[tuple[str, str], object] = {}
+
+    @functools.wraps(make)
+    def found(spark: SparkSession, sf_dir: str):
+        key = (spark.sparkContext.applicationId, sf_dir)
+        if key not in last:
+            last.clear()
+            last[key] = make(spark, sf_dir)
+        return last[key]
+
+    return found
+
+
 def discard(df: DataFrame) -> None:
     """Remove what stored() wrote for df at once; only where nothing that is still to run reads it."""
     if path := df.__dict__.pop("_quern_path", None):

@@ -22,7 +22,7 @@ def model(rows, budget, adaptive):
             return out
         tier = min(r["tier"] for r in fits)
         fits = [r for r in fits if r["tier"] == tier]
-        if adaptive and (every <= facets or all(not parts(r)[3] for r in fits)):
+        if adaptive and ((every and every <= facets) or all(not parts(r)[3] for r in fits)):
             for r in sorted(rows, key=lambda r: (r["tier"], -r["reranked"], r["rank"], r["chunk_id"])):
                 if r["token_count"] + P.FRAME <= left:
                     out.append(r["chunk_id"])
@@ -58,6 +58,14 @@ def test_coverage(spark):
         assert got == {q: m for q in range(6) if (m := model([x for x in rows if x["query_id"] == q], 60 + 10 * q, adaptive))}
 
 
+def test_adaptive_without_facets_goes_by_pages(spark):
+    """No facet isn't all facets: coverage goes on while pages are new, and only then the score decides."""
+    schema = "query_id long, budget long, rank long, chunk_id string, token_count long, reranked double, tier int, terms array<string>, query_terms array<string>, facets array<array<string>>, references array<string>, query_references array<string>, page_keys array<string>, heading string"
+    rows = [(1, 100, k, f"c{k}", 1, k / 10, 0, ["a"] if k == 1 else [], ["a"], [], [], [], ["p2" if k in (4, 5) else "p1"], "") for k in range(1, 8)]
+    got = [x.chunk_id for x in P.coverage(spark.createDataFrame(rows, schema), adaptive=True).orderBy("slot").collect()]
+    assert got == ["c1", "c2", "c3", "c4", "c7", "c6", "c5"]
+
+
 def test_contained(spark):
     rows = [(1, 1, "d", 1, 1, "alpha beta gamma"), (1, 2, "d", 1, 1, "Beta  gamma"), (1, 3, "d", 2, 2, "beta"), (1, 4, "e", 1, 1, "beta"), (1, 5, "d", 1, 3, "gamma"), (1, 6, "e", 9, 9, "BETA")]
     df = spark.createDataFrame(rows, "query_id long, rank long, document_id string, page_start long, page_end long, text string")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.operators import answers as A
+from quern.operators import generation as G
 from quern.operators import structure as S
 
 
@@ -42,5 +43,5 @@ def test_answer_types(spark):
 def test_penalties_and_fences(spark):
     for score, want in ((2.0, 1.7), (-2.0, -2.0 / 0.85), (0.0, -0.15)):
         assert math.isclose(one(spark, S.penalised(F.col("s"), F.lit(0.85)), s=score), want)
-    assert one(spark, A.without_fence(F.col("t")), t='```json\n{"a": 1}\n```') == '{"a": 1}' and one(spark, A.without_fence(F.col("t")), t=" x ") == "x"
+    assert one(spark, G.without_fence(F.col("t")), t='```json\n{"a": 1}\n```') == '{"a": 1}' and one(spark, G.without_fence(F.col("t")), t=" x ") == "x"
     assert one(spark, T.escape_html(F.col("t")), t="<a href='x'>&\"") == "&lt;a href=&#x27;x&#x27;&gt;&amp;&quot;"
