@@ -54,8 +54,6 @@ BATCH = 1 << 19
 SLAB = 1 << 22
 #: Bytes of several documents that are looked at at a time.
 PIECE = 1 << 18
-#: Bytes of what is looked up by document that may be broadcast; beyond, a join by shuffle does the same.
-BROADCAST_BYTES = 48 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _TABLE = mix(np.arange(1, 257, dtype=np.uint64))
@@ -295,13 +293,9 @@ def _source(docs: DataFrame) -> DataFrame:
     return docs.select("id", F.col("text").cast("binary").alias("text"))
 
 
-def _by_document(df: DataFrame, found: DataFrame, size: int, how: str) -> DataFrame:
-    return df.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, "id", how)
-
-
-def _bytes_of(df: DataFrame, columns: list[str]) -> int:
-    total = df.agg(F.sum(sum((F.length(c) for c in columns), F.lit(64))).alias("n")).first()["n"]
-    return int(total or 0)
+def _by_document(df: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """What is found grows with the input, so it is never broadcast: one plan for all sizes."""
+    return df.join(found.hint("merge"), "id", how)
 
 
 def _covered(docs: DataFrame, length: int) -> DataFrame:
@@ -410,7 +404,7 @@ def _covered(docs: DataFrame, length: int) -> DataFrame:
         tidy()
         return out
 
-    texts = _by_document(_source(docs), asks, _bytes_of(asks, ["lo", "more", "bucket"]), "inner")
+    texts = _by_document(_source(docs), asks, "inner")
     masks = texts.mapInArrow(fetch, "bucket long, ids binary, lo binary, gram binary, size binary, blocks binary").groupBy("bucket").applyInArrow(compare, _HOME_SCHEMA)
 
     def together(t: pa.Table) -> pa.Table:
@@ -459,7 +453,7 @@ def spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", le
         numbered, keep = plain.select(F.col("place").alias("id"), "text", F.col("id").alias("own")), ["id", "own"]
     cuts = stored(_covered(numbered.select("id", "text"), length), "cuts")
     text = numbered.select(*keep, F.col("text").cast("binary").alias("text"))
-    joined = _by_document(text, cuts, _bytes_of(cuts, ["begin", "end"]), "left")
+    joined = _by_document(text, cuts, "left")
     if not whole:
         joined = joined.withColumn("id", F.col("own")).drop("own")
 
@@ -491,14 +485,12 @@ def cut(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> D
     own = F.col("id") if whole else F.col("place")
     key, begin, end, row_id, row_text = (fresh(f"suffix_{c}", docs) for c in ("key", "begin", "end", "id", "text"))
     cuts = stored(_covered(plain.select(own.alias("id"), "text"), LENGTH), "cuts").select(F.col("id").alias(key), F.col("begin").alias(begin), F.col("end").alias(end))
-    small = _bytes_of(cuts, [begin, end]) <= BROADCAST_BYTES
-    found = F.broadcast(cuts) if small else cuts
     if whole:
-        joined = docs.join(found, F.col(id_col) == F.col(key), "left").drop(key)
+        joined = docs.join(cuts.hint("merge"), F.col(id_col) == F.col(key), "left").drop(key)
     else:  # a row is known by its id and text
-        found = plain.select(F.col("id").alias(row_id), F.col("text").alias(row_text), F.col("place").alias(f"{key}_")).join(found, F.col(f"{key}_") == F.col(key)).drop(f"{key}_", key)
+        found = plain.select(F.col("id").alias(row_id), F.col("text").alias(row_text), F.col("place").alias(f"{key}_")).join(cuts.hint("merge"), F.col(f"{key}_") == F.col(key)).drop(f"{key}_", key)
         same = F.col(id_col).cast("long").eqNullSafe(F.col(row_id)) & F.col(text_col).cast("string").eqNullSafe(F.col(row_text))
-        joined = docs.join(found, same, "left").drop(row_id, row_text)
+        joined = docs.join(found.hint("merge"), same, "left").drop(row_id, row_text)
     at = docs.columns.index(text_col)
     schema = docs.schema
 

@@ -63,11 +63,14 @@ def test_query_is_brute_force(spark, tmp_path, seed, monkeypatch):
     assert sorted(tuple(r) for r in S.op9_suffix_dedup(spark, str(tmp_path)).collect()) == brute(texts)
 
 
-def test_no_broadcast_is_the_same(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(S, "BROADCAST_BYTES", -1)
+def test_nothing_is_broadcast(spark, tmp_path):
     texts = corpus(3)
-    documents(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
-    assert sorted(tuple(r) for r in S.op9_suffix_dedup(spark, str(tmp_path)).collect()) == brute(texts)
+    docs = documents(spark, texts)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = S.op9_suffix_dedup(spark, str(tmp_path))
+    assert sorted(tuple(r) for r in found.collect()) == brute(texts)
+    for df in (found, S.cut(docs), S.cut(docs.unionByName(docs))):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
 
 
 @pytest.mark.parametrize("batch", [S.BATCH, 900, 60])
