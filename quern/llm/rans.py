@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import struct
 import zlib
 from array import array
@@ -200,25 +201,51 @@ class Shard:
 CACHE_UNITS = 800_000
 
 
+#: Units that the pattern matches as a whole, and that are letters in every version of Unicode.
+_LETTERS = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ɏ]+").fullmatch
+
+
+def _alphabet() -> str:
+    """The character by which a byte-level tokenizer writes each byte."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    name = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
+    return "".join(name[b] for b in range(256))
+
+
 @functools.lru_cache(maxsize=2)
 def tokenizer(path: str | None) -> UnitCache:
     """Once for each worker process; without a path, the worker's own copy of the public tokenizer.
 
     A text that spells an added token, such as the end of a text, goes to the library whole, which gives that token's id.
+    Words of plain letters go to the library's model at once: its other steps would leave them whole, at twice the price of the merges.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, models, pre_tokenizers
 
     found = Tokenizer.from_file(path or public_tokenizers.path(TOKENIZER))
     apart = tuple(t.content for t in found.get_added_tokens_decoder().values())
     code, kind = ("H", np.dtype("u2")) if found.get_vocab_size() <= 1 << 16 else ("I", np.dtype("u4"))
 
-    def learn(new: list[str]) -> list[bytes]:
+    def whole(new: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for lo in range(0, len(new), 20_000):
             out += [array(code, e.ids).tobytes() for e in found.encode_batch_fast(new[lo : lo + 20_000], add_special_tokens=False)]
         return out
 
+    cut, model, names = found.pre_tokenizer, found.model, _alphabet()
+    known = isinstance(model, models.BPE) and found.normalizer is None and isinstance(cut, pre_tokenizers.ByteLevel) and cut.use_regex and not cut.add_prefix_space
+    if not known or any(a == " " or _LETTERS(a) for a in apart):
+        return UnitCache(whole, kind, CACHE_UNITS, apart)
+
+    def learn(new: list[str]) -> list[bytes]:
+        words = [u for u in new if _LETTERS(u)]
+        spelled = "\n".join(words).encode().decode("latin-1").translate(names).split(names[10]) if words else []
+        ids = {u: array(code, [t.id for t in model.tokenize(w)]).tobytes() for u, w in zip(words, spelled, strict=True)}
+        others = [u for u in new if u not in ids]
+        ids.update(zip(others, whole(others), strict=True))
+        return [ids[u] for u in new]
+
     return UnitCache(learn, kind, CACHE_UNITS, apart)
 
 

@@ -129,7 +129,7 @@ class UnitCache:
             unknown = [every[k] for k in missing]
             self._add(list(dict.fromkeys(unknown)))
             at[missing] = np.fromiter(map(self.number.__getitem__, unknown), np.int64, len(unknown))
-        self.met[: len(self.number)] += np.bincount(at, minlength=len(self.number)).astype(np.int32)
+        np.add.at(self.met, at, 1)
         flat, end = self._gather(at)
         unit_ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
         return np.split(flat, np.r_[0, end][unit_ends][:-1]) if texts else []

@@ -4,7 +4,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from fixtures import ODD, documents
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers
 
 from quern.llm import rans as R
 
@@ -58,6 +58,29 @@ def test_special_tokens_as_the_library_takes_them():
     assert [x.tolist() for x in found] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
 
 
+def test_plain_words_go_to_the_model_as_the_library_takes_them(tmp_path):
+    path = public_tokenizers.path(R.TOKENIZER)
+    t = Tokenizer.from_file(path)
+    every = "".join(c for c in map(chr, range(0x250)) if R._LETTERS(c) and c != " ")
+    words = [lead + every[k : k + n] for k in range(len(every) - 4) for n in (1, 4) for lead in ("", " ")] + [" antidisestablishmentarianism"] * 2
+    assert all(R._LETTERS(w) for w in words) and not any(R._LETTERS(w) for w in ("", " ", "  a", "a b", "a1", "it's", " x.", "×", "a\n"))
+    found = R.tokenizer(path)
+    assert found.learn.__name__ == "learn"
+    others = [" 12", "日本", " x.!", "%%%"]
+    got = [np.frombuffer(x, found.kind).tolist() for x in found.learn(words + others + words[:3])]
+    assert got == [t.encode(w, add_special_tokens=False).ids for w in words + others + words[:3]]
+    # a tokenizer that does more to a word, or has words of its own, gets all units
+    t.normalizer = normalizers.Lowercase()
+    t.save(f"{tmp_path}/lower.json")
+    t.normalizer = None
+    t.add_tokens(["abc"])
+    t.save(f"{tmp_path}/own.json")
+    for name in ("lower", "own"):
+        own = Tokenizer.from_file(f"{tmp_path}/{name}.json")
+        texts = ["The Abc abc xabcx", "QUITE so"]
+        assert [x.tolist() for x in R.tokenizer(f"{tmp_path}/{name}.json").ids(texts)] == [own.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_empty_table_repeated_and_null_ids(spark):
     docs = documents(spark, ["a b", "c", None])
     assert R.read_shards(R.write_shards(docs.where("false"))).count() == 0
