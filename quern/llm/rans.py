@@ -27,6 +27,7 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -201,6 +202,9 @@ class Shard:
 CACHE_UNITS = 800_000
 
 
+#: Words that the library's model takes in one call.
+TOGETHER = 200
+
 #: Units that the pattern matches as a whole, and that are letters in every version of Unicode.
 _LETTERS = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ɏ]+").fullmatch
 
@@ -218,7 +222,7 @@ def tokenizer(path: str | None) -> UnitCache:
     """Once for each worker process; without a path, the worker's own copy of the public tokenizer.
 
     A text that spells an added token, such as the end of a text, goes to the library whole, which gives that token's id.
-    Words of plain letters go to the library's model at once: its other steps would leave them whole, at twice the price of the merges.
+    Words of plain letters go to the library's model at once, many in a call: its other steps would leave them whole, at a higher price than the merges.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer, models, pre_tokenizers
@@ -237,11 +241,25 @@ def tokenizer(path: str | None) -> UnitCache:
     known = isinstance(model, models.BPE) and found.normalizer is None and isinstance(cut, pre_tokenizers.ByteLevel) and cut.use_regex and not cut.add_prefix_space
     if not known or any(a == " " or _LETTERS(a) for a in apart):
         return UnitCache(whole, kind, CACHE_UNITS, apart)
+    bar = names[255]  # of a byte that no text has
+    alone = found.get_vocab(with_added_tokens=False)
+    changed = model.dropout or model.ignore_merges or model.continuing_subword_prefix or model.end_of_word_suffix or model.fuse_unk
+    if changed or not all(c in alone for c in names) or any(bar in t for t in alone if t != bar):
+        return UnitCache(whole, kind, CACHE_UNITS, apart)
+    bare, between, spell = Tokenizer(model), alone[bar], {**dict(enumerate(names)), 10: bar}
+
+    def merged(words: list[str]) -> list[bytes]:
+        """Ids of words of plain letters, many in one call: nothing merges with the bar between them."""
+        spelled = ["\n".join([*words[lo : lo + TOGETHER], ""]).encode().decode("latin-1").translate(spell) for lo in range(0, len(words), TOGETHER)]
+        ids = np.fromiter(chain.from_iterable(e.ids for e in bare.encode_batch_fast(spelled, add_special_tokens=False)), kind)
+        bars = np.flatnonzero(ids == between)
+        size = np.diff(bars, prepend=-1) - 1
+        data, end = ids[ids != between].tobytes(), np.cumsum(size) * kind.itemsize
+        return [data[a:z] for a, z in zip((end - size * kind.itemsize).tolist(), end.tolist(), strict=True)]
 
     def learn(new: list[str]) -> list[bytes]:
         words = [u for u in new if _LETTERS(u)]
-        spelled = "\n".join(words).encode().decode("latin-1").translate(names).split(names[10]) if words else []
-        ids = {u: array(code, [t.id for t in model.tokenize(w)]).tobytes() for u, w in zip(words, spelled, strict=True)}
+        ids = dict(zip(words, merged(words), strict=True))
         others = [u for u in new if u not in ids]
         ids.update(zip(others, whole(others), strict=True))
         return [ids[u] for u in new]

@@ -11,9 +11,11 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from itertools import chain, repeat
+from string import punctuation
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import regex
 
 PATTERN = regex.compile(public_tokenizers.PATTERN)
@@ -23,17 +25,33 @@ _OTHER = re.compile("[\0\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]"
 CACHE_UNITS = 300_000
 
 
-def units(text: str | None) -> list[str]:
-    """Strings that make up text, each of which a byte-level tokenizer may take by itself."""
-    if not text:
-        return []
-    if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n" or _OTHER.search(text):
-        return PATTERN.findall(text)
-    # a space opens a new unit; a line feed is one of its own, and the next word follows without a space
-    return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
+def spaced(text: str) -> bool:
+    """Whether a text that isn't empty has only single spaces and single line feeds, and these between words."""
+    return not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n" or _OTHER.search(text))
 
 
-def batches(sizes: list[int], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def cut(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(distinct units, the texts' units as places in that list, how many units each text has) of texts that are null, empty or spaced.
+
+    A unit is a string that a byte-level tokenizer may take by itself: a space opens a new one; a line feed is one
+    of its own, and the next word follows without a space. Texts are cut as bytes, all at once.
+    """
+    column = pa.array(texts, pa.large_string())
+    offsets, data = column.buffers()[1:]
+    bounds = np.frombuffer(offsets, np.int64, len(texts) + 1)
+    raw = np.frombuffer(data, np.uint8, int(bounds[-1])) if data is not None else np.zeros(0, np.uint8)
+    if not len(raw):
+        return [], np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
+    feed = raw == 10
+    opens = feed | (raw == 32)
+    opens[1:] |= feed[:-1]
+    opens[bounds[:-1][bounds[:-1] < len(raw)]] = True
+    begin = np.flatnonzero(opens)
+    every = pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(np.append(begin, len(raw))), data).dictionary_encode()
+    return every.dictionary.to_numpy(zero_copy_only=False).tolist(), every.indices.to_numpy(), np.diff(np.searchsorted(begin, bounds))
+
+
+def batches(sizes: list[int], most: int = 1 << 22) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about `most` characters, or one text: bounds what is held for a batch."""
     lo = 0
     while lo < len(sizes):
@@ -89,16 +107,22 @@ class UnitCache:
         self.number.update(zip(new, range(have, need), strict=True))
 
     def _add(self, new: list[str]) -> None:
-        """Learns new units. The pattern always cuts between a letter and a point or comma: a word with one is put together."""
-        ended = [u for u in new if u[-1] in ".," and len(u) > 1 and u[-2].isalpha()]
-        whole = set(ended)
-        plain = dict.fromkeys([u for u in new if u not in whole])
-        plain.update(dict.fromkeys(p for u in ended for p in (u[:-1], u[-1])))
+        """Learns new units. The pattern always cuts between a letter and marks, and never within marks: a word that ends in marks is put together."""
+        plain: dict[str, None] = {}
+        ended: list[str] = []
+        halves: list[str] = []
+        for u in new:
+            if u[-1] in punctuation and (word := u.rstrip(punctuation)) and word[-1].isalpha():
+                ended.append(u)
+                halves += (word, u[len(word) :])
+            else:
+                plain[u] = None
+        plain.update(dict.fromkeys(halves))
         plain = [u for u in plain if u not in self.number]
         parts = self.learn(plain)
         self._store(plain, np.frombuffer(b"".join(parts), dtype=self.kind), np.fromiter(map(len, parts), np.int64, len(parts)) // self.kind.itemsize)
         if ended:
-            at = np.fromiter((self.number[p] for u in ended for p in (u[:-1], u[-1])), np.int64, 2 * len(ended))
+            at = np.fromiter(map(self.number.__getitem__, halves), np.int64, len(halves))
             self._store(ended, self._gather(at)[0], self.size[at].reshape(-1, 2).sum(1))
 
     def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,18 +142,34 @@ class UnitCache:
             out += self._ids(texts[lo:hi])
         return out
 
+    def _numbers(self, names: list[str]) -> np.ndarray:
+        """Numbers of distinct units; new ones are learned."""
+        at = np.fromiter(map(self.number.get, names, repeat(-1)), np.int64, len(names))
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing:
+            new = [names[k] for k in missing]
+            self._add(new)
+            at[missing] = np.fromiter(map(self.number.__getitem__, new), np.int64, len(new))
+        return at
+
     def _ids(self, texts: list[str | None]) -> list[np.ndarray]:
-        parts = [units(t) for t in texts]
-        every = list(chain.from_iterable(parts))
         if len(self.number) > self.most:
             self._shrink()
-        at = np.fromiter(map(self.number.get, every, repeat(-1)), np.int64, len(every))
-        missing = np.flatnonzero(at < 0).tolist()
-        if missing:
-            unknown = [every[k] for k in missing]
-            self._add(list(dict.fromkeys(unknown)))
-            at[missing] = np.fromiter(map(self.number.__getitem__, unknown), np.int64, len(unknown))
-        np.add.at(self.met, at, 1)
-        flat, end = self._gather(at)
-        unit_ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
-        return np.split(flat, np.r_[0, end][unit_ends][:-1]) if texts else []
+        odd = {k: PATTERN.findall(t) for k, t in enumerate(texts) if t and not spaced(t)}
+        names, place, sizes = cut([None if k in odd else t for k, t in enumerate(texts)])
+        out = self._joined(names, place, sizes)
+        if odd:
+            every = list(chain.from_iterable(odd.values()))
+            spot = {u: k for k, u in enumerate(dict.fromkeys(every))}
+            place = np.fromiter(map(spot.__getitem__, every), np.int64, len(every))
+            found = self._joined(list(spot), place, np.fromiter(map(len, odd.values()), np.int64, len(odd)))
+            for k, ids in zip(odd, found, strict=True):
+                out[k] = ids
+        return out
+
+    def _joined(self, names: list[str], place: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+        """Ids of texts whose units are places among distinct names."""
+        number = self._numbers(names)
+        self.met[number] += np.bincount(place, minlength=len(names)).astype(np.int32)
+        flat, end = self._gather(number[place])
+        return np.split(flat, np.r_[0, end][np.cumsum(sizes)][:-1]) if len(sizes) else []

@@ -1,3 +1,4 @@
+import json
 import zlib
 
 import numpy as np
@@ -7,6 +8,7 @@ from fixtures import ODD, documents
 from tokenizers import Tokenizer, normalizers
 
 from quern.llm import rans as R
+from quern.llm import words as W
 
 
 @pytest.mark.parametrize("n,symbols", [(0, 1), (1, 1), (5, 3), (511, 9), (513, 2), (200_000, 1), (200_000, 40_000), (300_000, 100)])
@@ -81,6 +83,62 @@ def test_plain_words_go_to_the_model_as_the_library_takes_them(tmp_path):
         assert [x.tolist() for x in R.tokenizer(f"{tmp_path}/{name}.json").ids(texts)] == [own.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_words_merge_apart_though_many_go_in_one_call(tmp_path):
+    t = Tokenizer.from_file(public_tokenizers.path(R.TOKENIZER))
+    r = np.random.default_rng(7)
+    letters = [*"thetionaingersoTHE", "é", "ÿ", "Ā", "ɏ"]
+    new = list(dict.fromkeys(" " * int(r.integers(2)) + "".join(r.choice(letters, r.integers(1, 12))) for _ in range(3 * R.TOGETHER + 7)))
+    found = R.tokenizer(None)
+    assert found.learn.__name__ == "learn" and found.learn([]) == []
+    for some in (new, new[: R.TOGETHER], new[:1]):
+        assert [np.frombuffer(x, found.kind).tolist() for x in found.learn(some)] == [t.encode(u, add_special_tokens=False).ids for u in some]
+    # where the bar is in another token, or whole words are looked up before they are merged, the library gets all units
+    own = json.loads(t.to_str())
+    own["model"]["vocab"]["ÿa"] = 50300
+    own["model"]["merges"].append(["ÿ", "a"])
+    (tmp_path / "bar.json").write_text(json.dumps(own))
+    own = json.loads(t.to_str())
+    own["model"]["ignore_merges"] = True
+    (tmp_path / "ignore.json").write_text(json.dumps(own))
+    for name in ("bar", "ignore"):
+        assert R.tokenizer(f"{tmp_path}/{name}.json").learn.__name__ == "whole"
+
+
+def test_random_texts_as_the_library_takes_them():
+    t = Tokenizer.from_file(public_tokenizers.path(R.TOKENIZER))
+    r = np.random.default_rng(5)
+    parts = ["the", "don", "'s", "'", "***", ".,", "%%%", "é", "ÿ", "日本", "12", " ", " ", " ", "\n", "ing", "(", "x\u0301", "\t", "_"]
+    texts = [*ODD, *("".join(r.choice(parts, r.integers(0, 30))) for _ in range(3000))]
+    assert sum(W.spaced(x) for x in texts if x) > 100
+    found = R.tokenizer(None).ids(texts)
+    assert [x.tolist() for x in found] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+
+
+def test_units_are_looked_up_once_for_many_texts():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *key):
+            Counted.asked += 1
+            return super().get(*key)
+
+    learned = []
+
+    def learn(new):
+        learned.extend(new)
+        return [np.frombuffer(u.encode(), "u1").astype("<u4").tobytes() for u in new]
+
+    cache = W.UnitCache(learn)
+    cache.number = Counted()
+    texts = ["one two***", "two one\ntwo***", None, "", "one***"] * 500
+    found = cache.ids(texts)
+    assert [bytes(x.tolist()).decode() for x in found] == [x or "" for x in texts]
+    assert Counted.asked < 20
+    # a word that ends in marks is put together from the word and the marks
+    assert sorted(learned) == ["\n", " one", " two", "***", "one", "two"]
+    assert cache.met[cache.number["one"]] == 500 and cache.met[cache.number["\n"]] == 500
+
+
 def test_empty_table_repeated_and_null_ids(spark):
     docs = documents(spark, ["a b", "c", None])
     assert R.read_shards(R.write_shards(docs.where("false"))).count() == 0
