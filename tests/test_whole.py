@@ -76,3 +76,9 @@ def test_reachable_nodes_of_large_and_deep_graphs(spark):
     finally:
         spark.conf.set("spark.sql.cteRecursionRowLimit", limit)
     assert got == {("deep", k) for k in range(12)} | {("cycle", 0)}
+
+
+@pytest.mark.parametrize("name", ["table_join_candidates", "compile_context"])
+def test_customers_whose_keys_are_the_same_in_five_places(same, spark, name):
+    rows = [(k, f"Customer {k}", k % 2, -5.5 if k % 3 else 7.5, ("BUILDING", "MACHINERY")[k % 4 // 2]) for k in range(300000, 300060)]
+    same(name, customer=spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"))
