@@ -49,17 +49,27 @@ def boolean(text: Column) -> Column:
     return F.when(yes != no, yes)
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value), with value worked out once however often it is used."""
+    return F.transform(F.array(value), lambda x: use(x))[0]
+
+
 def number(text: Column) -> Column:
     """The first power, else fraction, else number of a text, white space aside."""
-    t = F.replace(text, F.lit(" "), F.lit(""))
     plain = r"[-+]?(?:\d+(?:\.\d+)?|\.\d+)"
     power, over = rf"({plain})\^([-+]?\d+)", rf"({plain})/({plain})"
-    single = F.regexp_extract(t, r"[-+]?(?:\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:[.,]\d+)?|\.\d+)(?:[eE][-+]?\d+)?", 0)
-    tail = F.substring_index(single, ",", -1)
-    short = single.contains(",") & ~single.contains(".") & (F.length(F.regexp_replace(single, "^[^,]*,", "")) <= 2)
-    single = F.when(short, F.concat(F.substring_index(single, ",", 1), F.lit("."), tail)).otherwise(F.replace(single, F.lit(","), F.lit("")))
-    get = lambda pattern, k: F.regexp_extract(t, pattern, k).try_cast("double")
-    return F.when(t.rlike(power), F.pow(get(power, 1), get(power, 2))).when(t.rlike(over), F.try_divide(get(over, 1), get(over, 2))).otherwise(single.try_cast("double"))
+
+    def single(s: Column) -> Column:
+        short = s.contains(",") & ~s.contains(".") & (F.length(F.regexp_replace(s, "^[^,]*,", "")) <= 2)
+        return F.when(short, F.concat(F.substring_index(s, ",", 1), F.lit("."), F.substring_index(s, ",", -1))).otherwise(F.replace(s, F.lit(","), F.lit(""))).try_cast("double")
+
+    def first(t: Column) -> Column:
+        get = lambda pattern, k: F.regexp_extract(t, pattern, k).try_cast("double")
+        found = F.regexp_extract(t, r"[-+]?(?:\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:[.,]\d+)?|\.\d+)(?:[eE][-+]?\d+)?", 0)
+        powers, fractions = t.contains("^") & t.rlike(power), t.contains("/") & t.rlike(over)
+        return F.when(powers, F.pow(get(power, 1), get(power, 2))).when(fractions, F.try_divide(get(over, 1), get(over, 2))).otherwise(_bound(found, single))
+
+    return _bound(F.replace(text, F.lit(" "), F.lit("")), first)
 
 
 def accuracy(prediction: Column, gold: Column, kind: Column) -> Column:
@@ -67,8 +77,8 @@ def accuracy(prediction: Column, gold: Column, kind: Column) -> Column:
     gives_up = F.lit(False)
     for phrase in ABSTENTIONS:
         gives_up = gives_up | p.contains(phrase)
-    x, y = number(prediction), number(gold)
-    near = F.when(x.isNull() | y.isNull(), False).when(y == 0, F.abs(x) < 1e-6).otherwise(F.abs(x - y) / F.abs(y) <= TOLERANCE)
+    close = lambda x, y: F.when(x.isNull() | y.isNull(), False).when(y == 0, F.abs(x) < 1e-6).otherwise(F.abs(x - y) / F.abs(y) <= TOLERANCE)
+    near = _bound(F.struct(number(prediction).alias("x"), number(gold).alias("y")), lambda v: close(v["x"], v["y"]))
     option = lambda t: F.regexp_extract(F.upper(F.trim(t)), r"\b([A-D])\b", 1)
     choice = (option(prediction) != "") & (option(prediction) == option(gold))
     truth = F.coalesce(boolean(prediction) == boolean(gold), F.lit(False))
